@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import mixing, neardup, tokens
+from kinweave.llm import decontaminate, mixing, neardup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items they hold."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -32,9 +37,18 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(documents, lexicon).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
+    "op2_decontaminate": op2_decontaminate,
     "op3_neardup": op3_neardup,
     "op9_mix": op9_mix,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
