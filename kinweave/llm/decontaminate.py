@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.batches import bound_batches
+
 #: Edits allowed, as a share of the item's characters.
 EDIT_SHARE = 0.06
 #: Pieces shorter than this would hit everywhere; fewer edits are allowed instead.
@@ -156,6 +158,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, edit_share: float =
     doc_id is carried through.  Repeated rows give repeated pairs.  Of items
     that repeat an id the last text counts.  Other columns are ignored.
     """
+    bound_batches(documents.sparkSession)
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("text"))
     found: DataFrame | None = None

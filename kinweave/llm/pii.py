@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.batches import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: Characters around a possible disguise that the transducers see.
 MARGIN = 96
@@ -253,6 +255,8 @@ def find_documents(documents: DataFrame) -> DataFrame:
     equal results; other columns are ignored.
     """
 
+    bound_batches(documents.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.batches import bound_batches
 from kinweave.llm.samples import held_out, training_texts
 
 BUCKETS, DIMS, NONZERO = 1 << 13, 32, 4
@@ -116,6 +117,8 @@ def neighbour_sums(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
 def word_vectors(documents: DataFrame) -> np.ndarray:
     """The word vectors of all buckets, from every document."""
 
+    bound_batches(documents.sparkSession)
+
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, counts = np.zeros((BUCKETS, DIMS)), np.zeros(BUCKETS, np.int64)
         for rows in batches:

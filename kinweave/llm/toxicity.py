@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.batches import bound_batches
 from kinweave.llm.samples import held_out, training_texts
 from kinweave.storage import materialize
 
@@ -171,6 +172,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """
     sample = training_texts(documents, labels, "toxic", sample_rows, seed=10).dropDuplicates(["text", "y"])
 
+    bound_batches(documents.sparkSession)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[tuple[bool, str], list[int]] = defaultdict(lambda: [0, 0])
         for rows in batches:
