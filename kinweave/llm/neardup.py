@@ -218,3 +218,20 @@ def _inner_members(members: DataFrame) -> DataFrame:
     """Classes in buckets of three and more, which step 4 may compare with each other."""
     size = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").select("key")
     return members.join(size, "key", "left_semi").select("rep")
+
+
+def kept_documents(documents: DataFrame) -> DataFrame:
+    """One document of each group: that with the smallest id, with its columns.
+
+    Documents without words and without an id all stay.  Of rows that repeat
+    both id and text one stays.
+    """
+    found = near_duplicates(documents)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = documents.join(gone, documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    again = documents.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_again")
+    if not again.isEmpty():
+        same = left["doc_id"] == F.col("_again")
+        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(again, same, "left_anti").select(*documents.columns).unionByName(once.select(*documents.columns))
+    return left.select(*documents.columns)
