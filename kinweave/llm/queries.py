@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import chat, decontaminate, mixing, neardup, neighbours, pii, quality, tokens, toxicity
+from kinweave.llm import chat, decontaminate, lines, mixing, neardup, neighbours, pii, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without the boilerplate lines of their hosts."""
+    return lines.dedup_lines(_table(spark, sf_dir, "pages"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows found for every twentieth vector."""
     return neighbours.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontaminate": op2_decontaminate,
     "op3_neardup": op3_neardup,
+    "op4_lines": op4_lines,
     "op5_neighbours": op5_neighbours,
     "op6_chat": op6_chat,
     "op7_quality": op7_quality,
@@ -78,4 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix": op9_mix,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_lines": lines.oracle(),
+}
