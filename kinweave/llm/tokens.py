@@ -13,7 +13,9 @@ leaves no half-written file behind.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,59 +24,79 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinweave.llm.batches import bound_batches
 from kinweave.llm.wavelet import Shard, build
 from kinweave.storage import shared_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 20
 #: Pieces whose ids a worker remembers, in entries.
-CACHE_PIECES = 1_000_000
-#: Letters beyond these are left to the tokenizer's own splitting, since two
-#: libraries may know different versions of Unicode.
-_PLAIN = r"[^\x00-ɏ -⁯₠-₿]"
+CACHE_PIECES = 600_000
+#: The letters and other number signs of the plain range, where all versions of
+#: Unicode agree; texts with other characters are left to the tokenizer whole.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+_BEYOND = "[^\x00-\x1b\x20-ɏ\u2000-\u200a\u2010-\u2027\u20ac]"
+#: Separators that libraries class differently.
+_DISPUTED = "\x1c\x1d\x1e\x1f"
+#: The pre-tokenizer's pieces on that range.
+_PIECE = rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
     BPE never crosses a piece of the pre-tokenizer, and prose repeats its
-    pieces, so the ids of a piece are asked of the tokenizer once and then
-    remembered.  Texts with an added token's string, or with characters whose
-    classes may differ between Unicode versions, go to the tokenizer whole.
+    pieces, so the tokenizer's model is asked for the ids of a piece once and
+    they are then remembered.  Texts with an added token's string, or with
+    characters outside the plain range, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._pieces = regex.compile(public_tokenizers.PATTERN).findall
-        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._whole = regex.compile("|".join([_PLAIN, *map(regex.escape, added)])).search
-        encode, dtype = self._ids, self.dtype
+        wide = self._tokenizer.get_vocab_size() > 1 << 16
+        self.dtype = np.dtype("<u4" if wide else "<u2")
+        self._code = "I" if wide else "H"
+        self._pieces = re.compile(_PIECE).findall
+        self._special = [*_DISPUTED, *(t.content for t in self._tokenizer.get_added_tokens_decoder().values())]
+        self._beyond = re.compile(_BEYOND).search
+        tokenize, letters, code = self._tokenizer.model.tokenize, _byte_letters(), self._code
 
         class Cache(dict):
             def __missing__(self, piece: str) -> bytes:
-                ids = np.array(encode(piece), dtype).tobytes()
+                ids = array(code, [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
                 if len(self) < CACHE_PIECES and len(piece) < 64:
                     self[piece] = ids
                 return ids
 
         self._cache = Cache()
 
-    def _ids(self, text: str) -> list[int]:
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
+    def _plain(self, text: str) -> bool:
+        if any(s in text for s in self._special):
+            return False
+        try:
+            text.encode("latin-1")  # far faster than a search, and enough for most texts
+        except UnicodeEncodeError:
+            return self._beyond(text) is None
+        return True
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as packed integers; null counts as empty."""
         if not text:
             return b""
-        if self._whole(text):
-            return np.array(self._ids(text), self.dtype).tobytes()
+        if not self._plain(text):
+            return array(self._code, self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self._cache.__getitem__, self._pieces(text)))
 
 
@@ -101,6 +123,7 @@ def write_shards(documents: DataFrame, path: str, vocabulary: str = VOCABULARY,
     doc_id are documents of their own, ordered by their ids.  Other columns
     are ignored.  An empty table writes no shard.
     """
+    bound_batches(documents.sparkSession)
     spark = documents.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = _id_bounds(documents, ranges)

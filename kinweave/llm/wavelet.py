@@ -53,8 +53,8 @@ def build(ids: np.ndarray, doc_ids: list[int | None], doc_len: np.ndarray) -> by
     ]
     zeros = []
     for plane in range(bits):
-        ones = ((now >> (bits - 1 - plane)) & 1).astype(bool)
-        low = now[~ones]
+        ones = (now & now.dtype.type(1 << (bits - 1 - plane))) != 0
+        low = now.take(np.flatnonzero(~ones))
         zeros.append(len(low))
         packed = np.packbits(ones)
         before = [0]
@@ -62,7 +62,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], doc_len: np.ndarray) -> by
             before.append(before[-1] + int(np.count_nonzero(ones[b : b + BLOCK_BITS])))
             sections.append((f"p{plane}.{b // BLOCK_BITS}", _pack(packed[b // 8 : (b + BLOCK_BITS) // 8].tobytes())))
         sections.append((f"r{plane}", np.array(before, "<u4").tobytes()))
-        now = np.concatenate([low, now[ones]])
+        now = np.concatenate([low, now.take(np.flatnonzero(ones))])
     at, where = 0, {}
     for name, raw in sections:
         where[name] = [at, len(raw)]
@@ -175,7 +175,7 @@ class Shard:
             raw = b"".join(_unpack(self._section(f"p{plane}.{b}")) for b in range(-(-n // BLOCK_BITS)))
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=n).view(bool)
             up = np.empty_like(now)
-            up[~ones] = now[: self._zeros[plane]]
-            up[ones] = now[self._zeros[plane] :] | now.dtype.type(1 << (self.bits - 1 - plane))
+            up[np.flatnonzero(~ones)] = now[: self._zeros[plane]]
+            up[np.flatnonzero(ones)] = now[self._zeros[plane] :] | now.dtype.type(1 << (self.bits - 1 - plane))
             now = up
         return self.alphabet()[now] if n else np.zeros(0, "<u4")
