@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.batches import bound_batches
+from kinweave.llm.rows import packed, unpacked
 
 #: Edits allowed, as a share of the item's characters.
 EDIT_SHARE = 0.06
@@ -182,6 +183,6 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Hits are few and leave the scan as (doc_id, row key); the anti join keeps
     documents with a null doc_id apart from each other by their text.
     """
-    hits = contaminated(documents, benchmark).select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).distinct()
-    keyed = documents.withColumn("_own", F.xxhash64("text"))
-    return keyed.join(hits, keyed["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left_anti").select(*documents.columns)
+    hits = contaminated(documents, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key")).distinct()
+    rows = packed(documents).withColumn("key", F.xxhash64("text"))
+    return unpacked(rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left_anti"))

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.llm.rows import packed, unpacked
 from kinweave.storage import materialize
 
 #: The words of a text, and weights that repeat over the sources.
@@ -221,7 +222,7 @@ def mixed_texts(documents: DataFrame, seed: int = 17) -> DataFrame:
     Texts are joined to the decisions by (doc_id, row key); equal rows are
     decided once and each keeps its own copies.
     """
-    decided = mix_documents(documents, seed).filter("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), "copies", F.col("source").alias("_src")).distinct()
-    keyed = documents.withColumn("_own", F.xxhash64("text"))
-    hit = keyed.join(decided, keyed["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")) & keyed["source"].eqNullSafe(F.col("_src")))
-    return hit.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*documents.columns)
+    decided = mix_documents(documents, seed).filter("copies > 0").select(F.col("doc_id").cast("long").alias("mix_id"), F.col("row_key").alias("mix_key"), "copies", F.col("source").alias("mix_source")).distinct()
+    rows = packed(documents, "source").withColumn("key", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("key") == F.col("mix_key")) & F.col("source").eqNullSafe(F.col("mix_source"))
+    return unpacked(rows.join(decided, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

@@ -91,7 +91,7 @@ class Grammar:
         w = self._memo.get(word)
         if w is None:
             w = self._lexicon.weight(word)
-            if len(self._memo) < 500_000:
+            if len(self._memo) < 200_000:
                 self._memo[word] = w
         return w
 
