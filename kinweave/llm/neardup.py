@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from kinweave.llm.batches import bound_batches
+from kinweave.llm.rows import packed, unpacked
 from kinweave.llm.shingles import common, mix64, shingle_sets
 from kinweave.operators.graph import connected_components
 from kinweave.storage import materialize
@@ -40,7 +41,7 @@ LIMIT = (75, 100)
 #: standard deviations under the limit.
 ESTIMATE_FLOOR = 0.52
 #: Buckets up to this many classes are searched pair by pair in step 4.
-SMALL_BUCKET = 32
+SMALL_BUCKET = 8
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
@@ -160,7 +161,11 @@ def _prefix_pairs(many: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> D
     """Pairs that share a shingle among the rarest of both, from different components.
 
     With ``p = n - ceil(0.75 n) + 1`` rarest shingles of each set, two sets
-    that reach the limit share one of them, whatever else they hold.
+    that reach the limit share one of them, whatever else they hold.  Their
+    first shared shingle, at places i and j of the order, leaves at most
+    ``1 + min(n_a - i, n_b - j)`` to share; a pair comes out only where that
+    is enough.  Copies with too many edits of their own, whose first places
+    are shingles nobody shares, thus meet no one.
     """
     need, of = limit
     words = many.join(sets, "rep").select("rep", "part", F.explode(_as_longs("members")).alias("shingle"))
@@ -168,9 +173,10 @@ def _prefix_pairs(many: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> D
     order = Window.partitionBy("rep").orderBy("df", "shingle")
     ranked = words.join(rare, "shingle").withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("rep")))
     head = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * need / of) + 1).filter("df > 1")
-    left = head.select("shingle", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
-    right = head.select("shingle", F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
-    fits = F.lit(of) * F.least("na", "nb") >= F.lit(need) * F.greatest("na", "nb")
+    left = head.select("shingle", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), (F.col("n") - F.col("at")).alias("ra"))
+    right = head.select("shingle", F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), (F.col("n") - F.col("at")).alias("rb"))
+    enough = F.lit(need + of) * (1 + F.least("ra", "rb")) >= F.lit(need) * (F.col("na") + F.col("nb"))
+    fits = (F.lit(of) * F.least("na", "nb") >= F.lit(need) * F.greatest("na", "nb")) & enough
     return left.join(right, "shingle").filter((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & fits).select("a", "b").distinct()
 
 
@@ -229,11 +235,10 @@ def kept_documents(documents: DataFrame) -> DataFrame:
     both id and text one stays.
     """
     found = near_duplicates(documents)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = documents.join(gone, documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    again = documents.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_again")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    left = packed(documents).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    again = documents.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("again_id")).agg(F.count("*").alias("n")).filter("n > 1").select("again_id")
     if not again.isEmpty():
-        same = left["doc_id"] == F.col("_again")
-        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(again, same, "left_anti").select(*documents.columns).unionByName(once.select(*documents.columns))
-    return left.select(*documents.columns)
+        same = F.col("doc_id") == F.col("again_id")
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return unpacked(left)
