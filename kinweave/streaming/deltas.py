@@ -19,7 +19,7 @@ def stream_rows(spark: SparkSession, folder: str, schema: str, files_per_batch:
 
 def batch_time(batch_id: int, start: str = "2026-01-01") -> Column:
     """A time that depends on the batch only, so a batch that is run again merges alike."""
-    return F.timestampadd("SECOND", F.lit(batch_id), F.lit(start).cast("timestamp"))
+    return F.timestamp_add("SECOND", F.lit(batch_id), F.lit(start).cast("timestamp"))
 
 
 def merge_stream(rows: DataFrame, to_incoming: Callable[[DataFrame, Column], DataFrame], merge: Callable[[DataFrame, DataFrame, Column], DataFrame], folder: str, name: str, schema: str, checkpoint: str) -> StreamingQuery:
