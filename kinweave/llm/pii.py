@@ -6,7 +6,7 @@ text and remembers, for every character it writes, which source characters it
 stands for:
 
 1. homoglyphs: look-alike letters and digits become ASCII, invisible
-   characters vanish;
+   characters vanish, letters inside runs of digits become digits;
 2. spelled digits: runs of at least three number words (English, German,
    French, Spanish) become digits, "plus" before them a plus sign;
 3. at and dot disguises: ``[at]``, ``(dot)``, `` at ... dot ...``, ``[.]`` and
@@ -113,15 +113,24 @@ _GAP = r"[\s,./-]{1,3}"
 _SPELLED = re.compile(rf"\b(?:plus{_GAP})?{_ONE_NUMBER}\b(?:{_GAP}(?:{_ONE_NUMBER}|[0-9]+)\b){{2,}}", re.I)
 _NUMBER_WORD = re.compile(rf"\b(?:{_ONE_NUMBER}|plus|[0-9]+)\b", re.I)
 # Words and brackets for at and dot.
-_AT, _DOT = "at|ät|arobase|arroba|chez", "dot|punkt|point|punto"
+_AT, _DOT = "at|ät|arobase|arroba|chez|klammeraffe", "dot|punkt|point|punto"
+# Top-level domains that end a disguised address without brackets.
+_TLD = "com|org|net|edu|gov|mil|int|info|biz|io|ai|co|uk|de|fr|es|it|nl|eu|ch|be|us|ca|au|jp|cn|ru|br|in|me|tv|app|dev|example|test|invalid|local"
+# Letters that stand for digits between digits.
+_LEET = {"O": "0", "o": "0", "I": "1", "l": "1", "|": "1", "Z": "2", "S": "5", "B": "8"}
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT_MARK = re.compile(rf"\s*{_OPEN}\s*(?:{_AT}|a|@)\s*{_CLOSE}\s*", re.I)
 _DOT_MARK = re.compile(rf"\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*", re.I)
-_BARE = re.compile(rf"(?<=[a-z0-9])(?:\s+(?:{_AT})\s+|\s*@\s*|[_-]+at[_-]+)[a-z0-9-]+(?:(?:\s+(?:{_DOT})\s+|\s*\.\s*|[_-]+dot[_-]+)[a-z0-9-]+)*?(?:\s+(?:{_DOT})\s+|[_-]+dot[_-]+|\s+\.\s*|\s*\.\s+|(?<=@)\.|\.)(?:[a-z]{{2,6}})\b", re.I)
-_BARE_AT = re.compile(rf"\s+(?:{_AT})\s+|\s*@\s*|[_-]+at[_-]+", re.I)
-_BARE_DOT = re.compile(rf"\s+(?:{_DOT})\s+|[_-]+dot[_-]+|\s*\.\s*", re.I)
-_DIGIT_DOT = re.compile(rf"(?<=[0-9])\s+(?:{_DOT})\s+(?=[0-9])", re.I)
-_HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|a|@|{_DOT}|\.)\s*{_CLOSE}|\s@|@\s|\b(?:{_DOT})\b|[_-](?:at|dot)[_-]", re.I)
+_AT_WORD = rf"\s+(?:{_AT})\s+|\s*[_-]+at[_-]+\s*|\s*@\s*"
+_DOT_WORD = rf"\s+(?:{_DOT})\s+|\s*[_-]+dot[_-]+\s*|\s+\.\s*|\.\s+|\."
+_BARE = re.compile(rf"(?<=[a-z0-9])({_AT_WORD})([a-z0-9-]+(?:(?:{_DOT_WORD})[a-z0-9-]+)*)(?:{_DOT_WORD})(?:{_TLD})\b(?![a-z0-9-])", re.I)
+_BARE_DOT = re.compile(_DOT_WORD, re.I)
+_NAMED_DOT = re.compile(rf"\b(?:{_DOT})\b|[_-]dot[_-]", re.I)
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:\s+(?:{_DOT})\s+|\s+\.\s*|\.\s+)(?=[0-9])", re.I)
+_HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|a|@|{_DOT}|\.)\s*{_CLOSE}|\s@|@\s|\b(?:{_DOT})\b|[_-](?:at|dot)[_-]|\s(?:{_AT})\s+[a-z0-9.-]+\.(?:{_TLD})\b|[0-9]\s+\.\s+[0-9]", re.I)
+_DIGITLIKE = "0-9" + "".join(re.escape(c) for c in _LEET)
+_LEET_HINT = re.compile("[0-9][ -]?[" + "".join(re.escape(c) for c in _LEET) + "]|[" + "".join(re.escape(c) for c in _LEET) + "][ -]?[0-9]")
+_LEET_RUN = re.compile(rf"(?<![\w+])\+?[{_DIGITLIKE}][{_DIGITLIKE} ().-]{{6,}}[{_DIGITLIKE}](?!\w)")
 
 
 class Tape:
@@ -180,20 +189,29 @@ def _signs(tape: Tape) -> None:
         tape.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(tape.text)])
     edits = []
     for m in _BARE.finditer(tape.text):
-        at = _BARE_AT.match(tape.text, m.start())
-        if at is None or not (at[0].strip() != "@" or re.search(r"\s", m[0]) or _BARE_DOT.search(m[0], at.end() - m.start())):
-            continue
-        if at[0].strip() != "@" and not re.search(rf"\b(?:{_DOT})\b|[_-]dot[_-]", m[0], re.I) and at[0].strip().lower() in _AT.split("|"):
-            continue  # prose: "look at this. And"
-        edits.append((at.start(), at.end(), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(tape.text, at.end(), m.end()) if not re.fullmatch(r"\.\s+", d[0]) or d.end() == m.end()]
+        named = m[1].strip() not in ("@", "")
+        rest = tape.text[m.end(1) : m.end()]
+        if named and (re.search(r"\s\.|\.\s", rest) or re.search(r"\s", rest) and not _NAMED_DOT.search(rest)):
+            continue  # prose: "look at this. In it"
+        edits.append((m.start(1), m.end(1), "@"))
+        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(tape.text, m.end(1), m.end())]
+    tape.rewrite(edits)
+
+
+def _leet(tape: Tape) -> None:
+    """Letters inside runs that are digits for the most part."""
+    edits = []
+    for m in _LEET_RUN.finditer(tape.text):
+        digits, letters = sum(c.isdigit() for c in m[0]), [i for i, c in enumerate(m[0]) if c in _LEET]
+        if letters and digits >= 2 * len(letters):
+            edits += [(m.start() + i, m.start() + i + 1, _LEET[m[0][i]]) for i in letters]
     tape.rewrite(edits)
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
     """Parts of the text that may hold a disguise, apart from each other."""
     hits = [] if text.isascii() else [m.span() for m in _ODD.finditer(text)]
-    hits += [m.span() for p in (_HINT, _SPELLED) for m in p.finditer(text)]
+    hits += [m.span() for p in (_HINT, _SPELLED, _LEET_HINT) for m in p.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(hits):
         a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
@@ -214,7 +232,7 @@ def disguised_spans(text: str) -> list[Span]:
             b += 1
         tape = Tape(text[a:b], a)
         _homoglyphs(tape)
-        before = tape.text
+        _leet(tape)
         runs = _digits(tape)
         for s, e in runs:
             digits = tape.text[s:e].lstrip("+")
@@ -224,7 +242,7 @@ def disguised_spans(text: str) -> list[Span]:
                 elif SPELLED_PHONE[0] <= len(digits) <= SPELLED_PHONE[1] and len(set(digits)) >= 3:
                     found.append(("phone", tape.start[s], tape.end[e - 1]))
         _signs(tape)
-        if tape.text != text[a:b] or tape.text != before:
+        if tape.text != text[a:b]:
             found += [(kind, tape.start[s], tape.end[e - 1]) for kind, s, e in base_spans(tape.text)]
     return found
 
