@@ -13,10 +13,6 @@ from kinweave.functions.conditions import any_present, first_match
 from kinweave.operators.metadata import Metadata
 from kinweave.sources.tables import Sources, current
 
-# The tables that hold parties, and those whose parties have attributes.
-PARTY_TABLES = [("SmartPlus", "lead"), ("SmartPlus", "quote"), ("SmartPlus", "application"), ("SmartPlus", "quote_member"), ("SmartPlus", "contact_person"), ("Smile", "policy"), ("Smile", "policy_member"), ("Smile", "claim")]
-ATTRIBUTE_TABLES = [("SmartPlus", "lead"), ("SmartPlus", "application"), ("SmartPlus", "quote_member"), ("SmartPlus", "contact_person"), ("Smile", "policy_member")]
-
 
 def union(frames: list[DataFrame], schema: str, like: DataFrame | None = None) -> DataFrame:
     """All rows of frames with the same columns; an empty frame of ``schema`` if there are none."""
@@ -79,9 +75,9 @@ def table_parties(rows: DataFrame, meta: Metadata, system: str, table: str, at:
     return simple_parties(rows, system, table, key, row["system_table_id"], row["main_party_type_id"], at)
 
 
-def all_parties(sources: Sources, meta: Metadata, at: Column, tables: list[tuple[str, str]] = PARTY_TABLES) -> DataFrame:
-    """Parties of all source tables that are there."""
-    found = [(s, t, sources.changed(s, t)) for s, t in tables]
+def all_parties(sources: Sources, meta: Metadata, at: Column) -> DataFrame:
+    """Parties of all source tables that hold some and are there."""
+    found = [(s, t, sources.changed(s, t)) for s, t in meta.party_tables()]
     return union([table_parties(rows, meta, s, t, at) for s, t, rows in found if rows is not None], schemas.SOURCE_PARTY)
 
 
@@ -118,9 +114,9 @@ def column_key(column: dict) -> str:
     return f"{column['column_id']}@{column['party_type']}"
 
 
-def all_attributes(sources: Sources, parties: DataFrame, meta: Metadata, tables: list[tuple[str, str]] = ATTRIBUTE_TABLES) -> DataFrame:
-    """Long attributes of all person tables that are there, nulls included."""
-    found = [(s, t, sources.changed(s, t)) for s, t in tables]
+def all_attributes(sources: Sources, parties: DataFrame, meta: Metadata) -> DataFrame:
+    """Long attributes of all tables that have some and are there, nulls included."""
+    found = [(s, t, sources.changed(s, t)) for s, t in meta.party_tables() if meta.attribute_columns(s, t)]
     return union([table_attributes(rows, parties, meta, s, t) for s, t, rows in found if rows is not None], "source_party_id string, column_id string, raw_value string")
 
 

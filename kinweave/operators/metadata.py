@@ -88,6 +88,15 @@ class Metadata:
     def is_column_subset(self, system: str, table: str) -> bool:
         return len(self.party_types(system, table)) > 1 and not self.is_conditional(system, table)
 
+    def party_tables(self) -> list[tuple[str, str]]:
+        """(system, table) of the tables whose rows are parties, in file order.
+
+        Tables without a party type of their own, such as bridges, are left out.
+        """
+        names = {s["system_id"]: s["system_name"] for s in self.system}
+        all_ = [(names[t["system_id"]], t["table_name"], t["main_party_type_id"]) for t in self.system_table if t["system_id"] in names]
+        return [(s, t) for s, t, main in all_ if main is not None or self.is_conditional(s, t) or self.is_column_subset(s, t)]
+
     def conditions(self, system: str, table: str) -> list[tuple[str, str]]:
         """(condition, party type) of a conditional table, in file order."""
         return [(c["condition_logic"], c["party_type"]) for c in self.columns(system, table) if c["is_party_type_condition"] and c["condition_logic"] and c["party_type"]]

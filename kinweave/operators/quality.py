@@ -30,13 +30,11 @@ def duplicates(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
-# The source tables whose rows are persons.
-PERSON_TABLES = ["smartplus_lead", "smartplus_quote_member", "smile_policy_member"]
-
-
-def scenario_faults(expected_clusters: DataFrame, expected_entities: DataFrame, expected_matches: DataFrame, person_tables: list[str] = PERSON_TABLES) -> DataFrame:
+def scenario_faults(expected_clusters: DataFrame, expected_entities: DataFrame, expected_matches: DataFrame, person_tables: list[str]) -> DataFrame:
     """Where expected outputs contradict each other: (scenario_id, fault, detail).
 
+    ``person_tables`` names the source tables whose rows are persons.
+
     Matches and entities may only name clustered parties; parties that match,
     directly or through others, must be exactly one entity; every person needs
     an entity; parties that must not match must not share one.

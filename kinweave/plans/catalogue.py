@@ -611,5 +611,5 @@ def _(m: Model) -> DataFrame:
     merged = m.scored.filter(F.col("decision").isin("MUST_MERGE", "MERGE", "MUST_NOT_MERGE"))
     matches = merged.select(F.lit("S1").alias("scenario_id"), "party_id_1", "party_id_2", (F.col("decision") != "MUST_NOT_MERGE").alias("should_match"))
     groups = m.entities.groupBy("master_entity_id").agg(F.to_json(F.array_sort(F.collect_list("party_id"))).alias("source_party_ids")).select(F.lit("S1").alias("scenario_id"), F.col("master_entity_id").alias("expected_master_entity_id"), "source_party_ids")
-    members = m.blocks.select(F.lit("S1").alias("scenario_id"), F.lit("smartplus_lead").alias("source_table"), F.col("party_id").alias("source_pk_value"))
-    return quality.scenario_faults(members, groups, matches)
+    members = m.blocks.select(F.lit("S1").alias("scenario_id"), F.lit("sales_customer").alias("source_table"), F.col("party_id").alias("source_pk_value"))
+    return quality.scenario_faults(members, groups, matches, ["sales_customer"])

@@ -142,11 +142,11 @@ def test_conflicts_and_split(spark):
 
 
 def test_scenarios(spark):
-    clusters_ = spark.createDataFrame([("S1", "smartplus_lead", "L1"), ("S1", "smile_policy_member", "P1"), ("S1", "smile_policy", "X"), ("S2", "smartplus_lead", "L2"), ("S2", "smartplus_lead", "L3")], "scenario_id string, source_table string, source_pk_value string")
+    clusters_ = spark.createDataFrame([("S1", "alpha_lead", "L1"), ("S1", "beta_member", "P1"), ("S1", "beta_policy", "X"), ("S2", "alpha_lead", "L2"), ("S2", "alpha_lead", "L3")], "scenario_id string, source_table string, source_pk_value string")
     ents = spark.createDataFrame([("S1", "E1", '["L1","P1"]'), ("S2", "E2", '["L2","L3"]')], "scenario_id string, expected_master_entity_id string, source_party_ids string")
     matches = "scenario_id string, party_id_1 string, party_id_2 string, should_match boolean"
     good = spark.createDataFrame([("S1", "L1", "P1", True), ("S2", "L2", "L3", True)], matches)
-    assert quality.scenario_faults(clusters_, ents, good).isEmpty()
+    assert quality.scenario_faults(clusters_, ents, good, ["alpha_lead", "beta_member"]).isEmpty()
     bad = spark.createDataFrame([("S1", "L1", "Q9", True), ("S2", "L2", "L3", False)], matches)
-    got = {(r.scenario_id, r.fault) for r in quality.scenario_faults(clusters_, ents.filter("scenario_id = 'S2'"), bad).collect()}
+    got = {(r.scenario_id, r.fault) for r in quality.scenario_faults(clusters_, ents.filter("scenario_id = 'S2'"), bad, ["alpha_lead", "beta_member"]).collect()}
     assert got == {("S1", "match outside clusters"), ("S1", "no entity for connected parties"), ("S1", "person without entity"), ("S2", "negative match in one entity")}

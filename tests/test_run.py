@@ -69,22 +69,12 @@ def folders(tmp_path_factory):
     return top
 
 
-TABLES = [("Alpha", t) for t in ("lead", "quote", "application", "quote_member", "contact_person")]
-
-
 @pytest.fixture(scope="module")
 def full(spark, folders):
-    from kinweave.operators import bronze
-
-    patch = pytest.MonkeyPatch()
-    for f, n in ((bronze.all_parties, 0), (bronze.all_attributes, 0)):
-        patch.setattr(f, "__defaults__", (TABLES if f is bronze.all_parties else [t for t in TABLES if t[1] != "quote"],))
-    patch.setattr(bronze, "PARTY_TABLES", TABLES)
     run = Run(spark, str(folders / "metadata"), Sources(spark, str(folders / "full")), datetime(2026, 1, 1))
     run.run()
     run.save(str(folders / "out"))
-    yield run
-    patch.undo()
+    return run
 
 
 def ids(frame, column):

@@ -29,14 +29,14 @@ def test_sources_by_role(spark, tmp_path):
     full, delta = tmp_path / "full", tmp_path / "delta"
     full.mkdir()
     delta.mkdir()
-    csv(full / "smile_policy.csv", "policy_id\nP1\nP2\n")
-    csv(full / "smile_link.csv", "a\n1\n")
-    csv(delta / "smile_policy.csv", "policy_id\nP3\n")
+    csv(full / "beta_policy.csv", "policy_id\nP1\nP2\n")
+    csv(full / "beta_link.csv", "a\n1\n")
+    csv(delta / "beta_policy.csv", "policy_id\nP3\n")
     s = tables.Sources(spark, str(full), str(delta))
-    assert [r[0] for r in s.changed("Smile", "policy").collect()] == ["P3"]
-    assert s.whole("Smile", "policy").count() == 2
-    assert s.changed("Smile", "link") is None and s.bridge("Smile", "link").count() == 1
-    assert tables.Sources(spark, str(full)).changed("Smile", "policy").count() == 2
+    assert [r[0] for r in s.changed("Beta", "policy").collect()] == ["P3"]
+    assert s.whole("Beta", "policy").count() == 2
+    assert s.changed("Beta", "link") is None and s.bridge("Beta", "link").count() == 1
+    assert tables.Sources(spark, str(full)).changed("Beta", "policy").count() == 2
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
