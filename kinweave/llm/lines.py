@@ -68,7 +68,7 @@ def dedup_lines(pages: DataFrame, most_share: float = MOST_SHARE, least_pages: i
     rows are pages of their own; a null page_id is carried through; other
     columns are ignored.
     """
-    read = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
+    read = materialize(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines")), "page-lines")
     found = materialize(boilerplate(read, most_share, least_pages), "boilerplate")
     size = found.agg(F.sum(F.size("marks")).alias("n")).first()["n"] or 0
     marked = read.join(F.broadcast(found) if size * 48 <= BROADCAST_BYTES else found, "host", "left")
