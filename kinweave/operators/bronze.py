@@ -90,12 +90,13 @@ def unpivot(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     return rows.select(values.text(F.col(key)).alias("source_record_id"), F.explode(cells).alias("cell")).select("source_record_id", "cell.*")
 
 
-def table_attributes(rows: DataFrame, parties: DataFrame, meta: Metadata, system: str, table: str) -> DataFrame:
+def table_attributes(rows: DataFrame, parties: DataFrame, meta: Metadata, system: str, table: str, all_versions: bool = False) -> DataFrame:
     """Long attributes of one table: (source_party_id, column_id, raw_value), nulls included.
 
     A cell goes to each party of its row whose type has that column.  The
     column id names column and party type, as a column alone may serve several
     types.  Null values stay in the result: they close earlier versions.
+    ``all_versions`` also serves parties that are closed.
     """
     spark = rows.sparkSession
     columns = [c for c in meta.attribute_columns(system, table) if c["source_column"] in rows.columns]
@@ -105,7 +106,7 @@ def table_attributes(rows: DataFrame, parties: DataFrame, meta: Metadata, system
     types = {p["party_type"]: p["party_type_id"] for p in meta.party_type}
     control = spark.createDataFrame([(c["source_column"], types[c["party_type"]], column_key(c)) for c in columns], "source_column string, party_type_id string, column_id string")
     long = unpivot(rows, key, {c["source_column"]: c["source_column"] for c in {c["source_column"]: c for c in columns}.values()})
-    own = current(parties).filter(F.col("system_table_id") == table_id).select("source_party_id", "party_type_id", "source_record_id")
+    own = (parties if all_versions else current(parties)).filter(F.col("system_table_id") == table_id).select("source_party_id", "party_type_id", "source_record_id")
     return long.join(own, "source_record_id").join(F.broadcast(control), ["source_column", "party_type_id"]).select("source_party_id", "column_id", "raw_value")
 
 

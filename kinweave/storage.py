@@ -55,3 +55,9 @@ def discard(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         if path.getParent().getName() == root.rsplit("/", 1)[1]:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; no plan may read them after."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
