@@ -31,7 +31,7 @@ from kinweave.llm.batches import bound_batches
 from kinweave.llm.rows import packed, unpacked
 from kinweave.llm.shingles import common, mix64, shingle_sets
 from kinweave.operators.graph import connected_components
-from kinweave.storage import materialize
+from kinweave.storage import discard, materialize
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
@@ -212,8 +212,9 @@ def near_duplicates(documents: DataFrame, limit: tuple[int, int] = LIMIT, small_
         more = few.unionByName(_prefix_pairs(materialize(many, "many"), sets, limit)).distinct()
     tested = materialize(_likely(more.join(first, ["a", "b"], "left_anti"), classes, ESTIMATE_FLOOR), "pairs")
     if not tested.isEmpty():
-        links = links.unionByName(_confirm(tested, sets, limit))
-        parts = materialize(connected_components(links), "parts")
+        parts = materialize(connected_components(links.unionByName(_confirm(tested, sets, limit))), "parts")
+    for table in (members, first, tested, sets, links):  # what follows reads none of them
+        discard(table)
     own = classes.select("rep", "set_lo", "set_hi")
     label = own.join(parts, own["rep"] == parts["node"], "left").select("set_lo", "set_hi", F.coalesce("component", "rep").alias("component"))
     out = known.join(label, ["set_lo", "set_hi"], "left")
