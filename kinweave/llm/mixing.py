@@ -32,7 +32,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHT_CYCLE = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
-CELL_ROWS = 4096
+CELL_ROWS = 512
+#: Tables of patterns or sources up to this many rows are broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -137,6 +139,10 @@ def min_cost_flow(supply: list[int], members: list[list[int]], demand: list[int]
     return flow
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def _ordered_starts(sized: DataFrame, seed: int, n_rows: int) -> DataFrame:
     """Add ``before``: the tokens of a pattern that precede a document.
 
@@ -191,7 +197,7 @@ def mix(
     plan = [(r["pattern"], k, sum(by_source[k] for by_source in flow[p])) for p, r in enumerate(found) for k in range(max_repeats)]
     spark = members.sparkSession
     limits = spark.createDataFrame([(p, [x[2] for x in plan if x[0] == p]) for p in dict.fromkeys(x[0] for x in plan)], "pattern string, limits array<long>")
-    placed = _ordered_starts(sized, seed, sum(r["n"] for r in found)).join(F.broadcast(limits), "pattern")
+    placed = _ordered_starts(sized, seed, sum(r["n"] for r in found)).join(_small(limits, len(found)), "pattern")
     middle = F.col("before") + F.col("size") / 2
     taken = F.aggregate("limits", F.lit(0), lambda n, most: n + (middle < most).cast("int"))
     return placed.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0)).drop("limits", "before", "pattern"), quotas
@@ -212,7 +218,7 @@ def mix_documents(documents: DataFrame, seed: int = 17) -> DataFrame:
     mixed, quotas = mix(sized.withColumn("sources", F.array("source")), seed=seed)
     spark = documents.sparkSession
     known = spark.createDataFrame([(q.source, q.size, q.target) for q in quotas], "q_source string, source_size long, target double")
-    joined = mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("q_source")))
+    joined = mixed.join(_small(known, len(quotas)), F.col("source").eqNullSafe(F.col("q_source")))
     return joined.select("doc_id", "source", "row_key", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"))
 
 
