@@ -39,6 +39,8 @@ LEXICON_SIZE = 3000
 #: Toxic sample texts that must hold a word before it can be learned, and the
 #: share of them; copies of a text count once.
 LEAST_SUPPORT, LEAST_SHARE = 4, 0.02
+#: Log odds that an entry needs if clean sample texts hold it too.
+LEAST_ODDS = 4.5
 #: Longest word beginning that is learned.
 STEM = (4, 7)
 PREDICT_FROM = 0.3
@@ -194,7 +196,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         enough = F.col("toxic") >= LEAST_SHARE * everything["toxic"]
         for r in counts.filter("entry <> '*'").filter(enough).orderBy(F.desc("toxic"), "entry", "kind").limit(LEXICON_SIZE).collect():
             odds = math.log((r["toxic"] + 0.5) / (everything["toxic"] + 1.0)) - math.log((r["clean"] + 0.5) / (everything["clean"] + 1.0))
-            (lexicon.words if r["kind"] == "w" else lexicon.stems)[r["entry"]] = min(6.0, max(odds, 0.0))
+            if odds >= LEAST_ODDS or not r["clean"]:
+                (lexicon.words if r["kind"] == "w" else lexicon.stems)[r["entry"]] = min(6.0, max(odds, 0.0))
     return lexicon
 
 
