@@ -244,7 +244,7 @@ def fit(documents: DataFrame, labels: DataFrame, vectors: np.ndarray, sample_row
             yield pd.DataFrame({"id": rows["_id"], "y": rows["y"], "x": [r.astype(np.float32).tobytes() for r in x]})
 
     sample = training_texts(documents, labels, "quality", sample_rows, seed=7).mapInPandas(pool, "id long, y int, x binary")
-    rows = sorted(sample.limit(2 * sample_rows).collect())
+    rows = sorted(sample.collect())  # sample_rows at most
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(-1, N_INPUTS)
     return train(x, np.array([r["y"] for r in rows], np.float64))
 

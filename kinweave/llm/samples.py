@@ -21,10 +21,10 @@ def training_texts(documents: DataFrame, labels: DataFrame, label: str, bound: i
     sample is the same on every run and of one size however large the tables
     are; only its ids are broadcast.  Rows without a label, without a doc_id
     or kept from training are never taken; a doc_id with contradicting labels
-    counts with the larger one.
+    counts with the larger one, and one with several texts with the smallest.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y")).filter("_id is not null and y is not null").filter(~held_out(F.col("_id")))
     known = documents.select(F.col("doc_id").cast("long").alias("_id")).distinct()
     chosen = usable.groupBy("_id").agg(F.max("y").alias("y")).join(known, "_id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(bound)
     texts = documents.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    return texts.join(F.broadcast(chosen), "_id").select("_id", "text", "y")
+    return texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
