@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 _SPACE = r"(?U)\s+"
 _EDGES = r"(?U)^\s+|\s+$"
 
-# Personal mail domains and gender words.
+# Personal mail domains, the local phone prefix and lengths, a
+# government id without brackets, and gender words.
 PERSONAL_DOMAINS = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com"]
+LOCAL_PREFIX, LOCAL_DIGITS = "852", 8
+BARE_GOV_ID = r"^([A-Z]\d{6})(\d)$"
 MALE, FEMALE, OTHER = ["M", "MALE", "MAN"], ["F", "FEMALE", "WOMAN"], ["O", "OTHER", "NON-BINARY"]
 
 
@@ -43,13 +46,13 @@ def normalize_phone(v: Column) -> Column:
     """``+`` and digits; 8 digits are local numbers of country 852."""
     digits = F.regexp_replace(v, r"(?U)\D", "")
     plus = strip(v).startswith("+")
-    local = F.when(~plus & (F.length(digits) == 8) & ~(digits.startswith("852") & (F.length(digits) == 11)), F.concat(F.lit("+852"), digits)).otherwise(F.concat(F.lit("+"), digits))
+    local = F.when(~plus & (F.length(digits) == LOCAL_DIGITS), F.concat(F.lit(f"+{LOCAL_PREFIX}"), digits)).otherwise(F.concat(F.lit("+"), digits))
     return _given(v, F.when(digits != "", local))
 
 
 def normalize_gov_id(v: Column) -> Column:
     """Trim and upper case; a letter and seven digits get the check digit in brackets."""
-    return _given(v, F.regexp_replace(F.upper(strip(v)), r"^([A-Z]\d{6})(\d)$", "$1($2)"))
+    return _given(v, F.regexp_replace(F.upper(strip(v)), BARE_GOV_ID, "$1($2)"))
 
 
 def normalize_address(v: Column) -> Column:
@@ -89,34 +92,39 @@ def normalize(attribute_name: Column, v: Column) -> Column:
     return out.otherwise(normalize_default(v))
 
 
+# Classes of identifiers as (pattern, subtype, confidence), the
+# first that fits; the last of each list is for values that fit none.
+GOV_ID_CLASSES = [(r"^[A-Z]{1,2}\d{6}\(\d\)$", "HKID", 1.0), (r"^[A-Z]{1,2}\d{6,8}$", "PASSPORT", 0.9), (r"^[A-Z]\d{7,10}$", "DRIVERS_LICENSE", 0.7), (None, "GOV_ID_UNKNOWN", 0.5)]
+PHONE_CLASSES = [(r"^\+852[96]\d{7}$", "MOBILE", 0.95), (r"^\+852[23]\d{7}$", "LANDLINE", 0.95), (r"^\+\d{10,15}$", "MOBILE", 0.7), (None, "PHONE_GENERIC", 0.5)]
+EMAIL_PERSONAL, EMAIL_OTHER = ("EMAIL_PERSONAL", 0.9), ("EMAIL_GENERIC", 0.8)
+
+
 def _class(subtype: str, confidence: float) -> Column:
     return F.struct(F.lit(subtype).alias("subtype"), F.lit(confidence).alias("confidence"))
 
 
+def _first_class(v: Column, classes: list[tuple[str | None, str, float]]) -> Column:
+    *known, (_, subtype, confidence) = classes
+    out = _class(subtype, confidence)
+    for pattern, name, score in reversed(known):
+        out = F.when(v.rlike(pattern), _class(name, score)).otherwise(out)
+    return out
+
+
 def classify_gov_id(v: Column) -> Column:
     """(subtype, confidence) of a normalised government id."""
-    return (
-        F.when(v.rlike(r"^[A-Z]{1,2}\d{6}\(\d\)$"), _class("HKID", 1.0))
-        .when(v.rlike(r"^[A-Z]{1,2}\d{6,8}$"), _class("PASSPORT", 0.9))
-        .when(v.rlike(r"^[A-Z]\d{7,10}$"), _class("DRIVERS_LICENSE", 0.7))
-        .otherwise(_class("GOV_ID_UNKNOWN", 0.5))
-    )
+    return _first_class(v, GOV_ID_CLASSES)
 
 
 def classify_phone(v: Column) -> Column:
     """(subtype, confidence) of a normalised phone number."""
-    return (
-        F.when(v.rlike(r"^\+852[96]\d{7}$"), _class("MOBILE", 0.95))
-        .when(v.rlike(r"^\+852[23]\d{7}$"), _class("LANDLINE", 0.95))
-        .when(v.rlike(r"^\+\d{10,15}$"), _class("MOBILE", 0.7))
-        .otherwise(_class("PHONE_GENERIC", 0.5))
-    )
+    return _first_class(v, PHONE_CLASSES)
 
 
 def classify_email(v: Column) -> Column:
-    """(subtype, confidence) of a normalised email."""
-    domain = F.split_part(v, F.lit("@"), F.lit(2))
-    return F.when(F.contains(v, F.lit("@")), F.when(domain.isin(PERSONAL_DOMAINS), _class("EMAIL_PERSONAL", 0.9)).otherwise(_class("EMAIL_GENERIC", 0.8)))
+    """(subtype, confidence) of a normalised email; null without an at sign."""
+    personal = F.split_part(v, F.lit("@"), F.lit(2)).isin(PERSONAL_DOMAINS)
+    return F.when(F.contains(v, F.lit("@")), F.when(personal, _class(*EMAIL_PERSONAL)).otherwise(_class(*EMAIL_OTHER)))
 
 
 def classify(attribute_name: Column, v: Column) -> Column:

@@ -10,8 +10,10 @@ from kinweave.operators.evidence import union_pairs
 from kinweave.profiles import Profile
 from kinweave.sources.tables import current
 
-#: What a soft relationship's confidence counts in the score.
+# What a soft relationship's confidence counts in the score, and
+# the scores of hard links by tier.
 RELATIONSHIP_WEIGHT = 0.3
+HIGH_SCORE, MEDIUM_SCORE, LOW_SCORE = 1.0, 0.85, 0.5
 
 
 def relationship_pairs(relationships: DataFrame, metadata_relationship: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def decide(summary: DataFrame, rules: DataFrame, profile: Profile) -> DataFrame:
     note = F.when(high, " (high confidence)").when(middle & hard, " (medium confidence - flagged)").when(middle, " (medium confidence)").otherwise(F.concat(F.lit(" but low attribute match ("), values.percent(F.col("match_ratio")), F.lit(")")))
     return (
         rows.withColumn("decision", F.when(blocked, "MUST_NOT_MERGE").when(linked & middle, "MUST_MERGE").when(linked & high, "MUST_MERGE").when(linked, "REVIEW_REQUIRED").when(merges, "MERGE").otherwise("NO_MERGE"))
-        .withColumn("score", F.when(blocked, 0.0).when(linked & high, 1.0).when(linked & middle, 0.85).when(linked, 0.5).otherwise(F.col("_score")))
+        .withColumn("score", F.when(blocked, 0.0).when(linked & high, HIGH_SCORE).when(linked & middle, MEDIUM_SCORE).when(linked, LOW_SCORE).otherwise(F.col("_score")))
         .withColumn("confidence_tier", F.when(blocked, F.lit(None)).when(linked & high, "HIGH").when(linked & middle, "MEDIUM").when(linked, "LOW"))
         .withColumn("reason", F.when(blocked, F.concat(F.lit("Hard block: "), F.col("hard_block"))).when(linked, F.concat(F.lit("Hard link: "), source, note)).otherwise(F.concat(F.format_string("Score %.2f ", F.col("_score")), F.when(merges, ">= threshold").otherwise("< threshold"))))
         .drop("_total", "_score")
