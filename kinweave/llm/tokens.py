@@ -32,7 +32,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 #: Pieces whose ids a worker remembers, in entries.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: The letters and other number signs of the plain range, where all versions of
 #: Unicode agree; texts with other characters are left to the tokenizer whole.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"

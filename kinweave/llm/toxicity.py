@@ -34,6 +34,8 @@ from kinweave.storage import materialize
 
 #: Labelled rows that teach the lexicon, at most.
 SAMPLE_ROWS = 6000
+#: Partial counts that a task holds before it passes them on.
+HELD_COUNTS = 50_000
 #: Learned entries, at most.
 LEXICON_SIZE = 3000
 #: Toxic sample texts that must hold a word before it can be learned, and the
@@ -177,16 +179,22 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     bound_batches(documents.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: dict[tuple[bool, str], list[int]] = defaultdict(lambda: [0, 0])
+        n: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+
+        def flush() -> pd.DataFrame:
+            keys = list(n)
+            out = pd.DataFrame({"kind": [k for k, _ in keys], "entry": [e for _, e in keys], "clean": [n[k][0] for k in keys], "toxic": [n[k][1] for k in keys]})
+            n.clear()
+            return out
+
         for rows in batches:
             for text, y in zip(rows["text"], rows["y"], strict=True):
                 words, stems = _features(text or "")
                 for key in [("w", "*"), *(("w", w) for w in words), *(("s", s) for s in stems)]:
                     n[key][1 if y else 0] += 1
-        keys = list(n)
-        for a in range(0, len(keys), 50_000):
-            part = keys[a : a + 50_000]
-            yield pd.DataFrame({"kind": [k for k, _ in part], "entry": [e for _, e in part], "clean": [n[k][0] for k in part], "toxic": [n[k][1] for k in part]})
+                if len(n) >= HELD_COUNTS:
+                    yield flush()
+        yield flush()
 
     counts = sample.mapInPandas(count, "kind string, entry string, clean long, toxic long").groupBy("kind", "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = materialize(counts.filter((F.col("toxic") >= LEAST_SUPPORT) & (F.col("toxic") > 8 * F.col("clean")) | (F.col("entry") == "*")), "lexicon")
