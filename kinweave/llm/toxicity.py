@@ -6,24 +6,30 @@ transducers reads them clause by clause:
 * *insult* and *threat* words open a clause reading with their weight.  A seed
   lexicon is extended by words and word beginnings learned from labelled
   training rows (weighted log odds), so invented or foreign abuse counts too;
-* *target* words (second and third person) near such a word raise its weight;
+* *target* words (second and third person) near such a word make the clause a
+  match of full weight.  Insults without a target are *lone*: they count at a
+  lower weight, and of the whole text only the densest passage of
+  ``PASSAGE`` words counts, less a term that grows with the logarithm of the
+  text's length, as the densest of many passages is dense by chance;
 * *negation* before it ("not", "nicht", ...) lowers it;
 * *reported speech* (a verb of saying, a quotation mark) lowers it.
 
-The score of a document is the probability that the sum of its best clause
-readings exceeds what clean documents show: a logistic of the accepted weight
-against a threshold set on the same training rows.  One isolated neutral word
-never scores; what scores is a matched clause.
+The score of a document is the probability that the sum of its matched clauses
+and its densest passage of lone words exceeds what clean documents show: a
+logistic of that weight whose centre and slope are fitted on the same training
+rows.  By the defaults, that is without labels, one lone word stays below the
+threshold; labels may let it count in short texts, never in long ones.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +67,16 @@ QUOTES = frozenset('"“”«»„')
 
 # How transducers change the weight of what they wrap.
 TARGETED, NEGATED, QUOTED, SEED_WEIGHT = 1.25, 0.25, 0.4, 4.0
+#: Share of its weight, at most the seeds', that a word without a target keeps.
+LONE = 0.55
+#: Words of a passage in which lone words add up.
+PASSAGE = 100
+#: Weight that the lone words lose per unit of the logarithm of the number of passages.
+LENGTH_TERM = 0.5
 #: Words back in a clause that a target, negation or verb of saying reaches.
 REACH = 4
+#: Standard deviations of the centre and the slope around their defaults, in the fit.
+CENTRE_PRIOR, SLOPE_PRIOR = 1.0, 0.5
 
 
 @dataclass
@@ -100,49 +114,70 @@ class Grammar:
         return w
 
     def accepted(self, text: str | None) -> float:
-        """The weight of the text's accepted clauses.
+        """The weight of the text's matched clauses and of its densest lone words.
 
         States are the distances since a target, a negation, a verb of saying
         and an intent were read in the clause, and whether a quotation is
-        open; a lexicon word emits its weight as changed by that state.
+        open; a lexicon word emits its weight as changed by that state.  An
+        insult waits up to ``REACH`` words of its clause for a target.
         """
         if not text:
             return 0.0
         far = REACH + 1
-        total, clause = 0.0, 0.0
+        total, at = 0.0, 0
         target = negation = reported = intent = far
         quoted = False
         waiting = 0.0
+        waits_at = 0
+        passage: deque[tuple[int, float]] = deque()
+        held, densest = 0.0, 0.0
+
+        def alone() -> None:
+            """The waiting word found no target; it joins the lone words of its passage."""
+            nonlocal held, densest
+            w = waiting * LONE
+            passage.append((waits_at, w))
+            held += w
+            while passage[0][0] <= waits_at - PASSAGE:
+                held -= passage.popleft()[1]
+            densest = max(densest, held)
+
         memo, weigh = self._memo, self._weight
         for word in WORD.findall(text.lower()):
             w = memo.get(word)
             if w is None:
                 w = weigh(word)
             if w == 0.0 and word not in _GRAMMAR_WORDS:
+                at += 1
                 target += 1
                 negation += 1
                 reported += 1
                 intent += 1
                 continue
             if word in STOPS:
-                total += clause
-                clause, waiting = 0.0, 0.0
+                if waiting:
+                    alone()
+                    waiting = 0.0
                 target = negation = reported = intent = far
                 continue
             if word in QUOTES:
                 quoted = not quoted
                 continue
+            at += 1
             target, negation, reported, intent = target + 1, negation + 1, reported + 1, intent + 1
-            if word in THREAT:
-                w = max(w, SEED_WEIGHT if intent <= REACH else 0.0)
-            if w:
-                w *= (TARGETED if target <= REACH else 1.0) * (NEGATED if negation <= REACH - 1 else 1.0) * (QUOTED if quoted and reported <= 2 * REACH else 1.0)
-                clause += w
-                waiting = w
+            factor = (NEGATED if negation <= REACH - 1 else 1.0) * (QUOTED if quoted and reported <= 2 * REACH else 1.0)
+            if word in THREAT and intent <= REACH:
+                total += max(w, SEED_WEIGHT) * (TARGETED if target <= REACH else 1.0) * factor
+            elif w and target <= REACH:
+                total += w * TARGETED * factor
+            elif w:
+                if waiting:
+                    alone()
+                waiting, waits_at = min(w, SEED_WEIGHT) * factor, at
             if word in TARGET:
                 target = 0
-                if waiting:  # the target may follow: "idiot, you ..."
-                    clause += waiting * (TARGETED - 1.0)
+                if waiting and at - waits_at <= REACH:  # the target may follow: "idiot, you ..."
+                    total += waiting * TARGETED
                     waiting = 0.0
             elif word in NEGATION:
                 negation = 0
@@ -150,7 +185,11 @@ class Grammar:
                 reported = 0
             elif word in INTENT:
                 intent = 0
-        return total + clause
+        if waiting:
+            alone()
+        if densest and at > PASSAGE:
+            densest = max(0.0, densest - LENGTH_TERM * math.log(at / PASSAGE))
+        return total + densest
 
     def score(self, text: str | None) -> float:
         """The probability that a text is toxic; a text without matches is far below."""
@@ -174,9 +213,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     only.  Without labels, or with one class only, the seed lexicon alone
     counts.
     """
-    sample = training_texts(documents, labels, "toxic", sample_rows, seed=10).dropDuplicates(["text", "y"])
-
     bound_batches(documents.sparkSession)
+    sample = materialize(training_texts(documents, labels, "toxic", sample_rows, seed=10).dropDuplicates(["text", "y"]), "toxic-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
@@ -194,7 +232,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
                     n[key][1 if y else 0] += 1
                 if len(n) >= HELD_COUNTS:
                     yield flush()
-        yield flush()
+        if n:
+            yield flush()
 
     counts = sample.mapInPandas(count, "kind string, entry string, clean long, toxic long").groupBy("kind", "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = materialize(counts.filter((F.col("toxic") >= LEAST_SUPPORT) & (F.col("toxic") > 8 * F.col("clean")) | (F.col("entry") == "*")), "lexicon")
@@ -206,9 +245,42 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             odds = math.log((r["toxic"] + 0.5) / (everything["toxic"] + 1.0)) - math.log((r["clean"] + 0.5) / (everything["clean"] + 1.0))
             if odds >= LEAST_ODDS or not r["clean"]:
                 (lexicon.words if r["kind"] == "w" else lexicon.stems)[r["entry"]] = min(6.0, max(odds, 0.0))
+        _fit_scale(sample, lexicon)
     return lexicon
 
 
+def _fit_scale(sample: DataFrame, lexicon: Lexicon) -> None:
+    """Set centre and slope by the accepted weights of the sample rows.
+
+    The driver sees one number and one label per sample row.  Normal priors
+    around the defaults keep the scale finite where the weights separate the
+    classes, and near the defaults where labels are few.
+    """
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grammar = Grammar(lexicon)
+        for rows in batches:
+            yield pd.DataFrame({"weight": np.array([grammar.accepted(t) for t in rows["text"]], float), "y": rows["y"].to_numpy(np.int32)})
+
+    rows = sample.mapInPandas(weigh, "weight double, y int").collect()
+    lexicon.centre, lexicon.slope = fitted_scale(np.array([r["weight"] for r in rows]), np.array([r["y"] for r in rows], float), lexicon.centre, lexicon.slope)
+
+
+def fitted_scale(weight: np.ndarray, y: np.ndarray, centre: float, slope: float) -> tuple[float, float]:
+    """Centre and slope of the likeliest logistic, by a grid around the defaults.
+
+    Labels may thus let one lone word of a short text count.
+    """
+    best = (math.inf, centre, slope)
+    for c in np.linspace(max(0.1, centre - 2.9), centre + 3.0, 60):
+        for s in np.linspace(0.3, 4.0, 38):
+            z = np.clip(s * (weight - c), -30.0, 30.0)
+            loss = float(np.logaddexp(0.0, np.where(y > 0, -z, z)).sum()) + ((c - centre) / CENTRE_PRIOR) ** 2 / 2 + ((s - slope) / SLOPE_PRIOR) ** 2 / 2
+            if loss < best[0]:
+                best = (loss, float(c), float(s))
+    return best[1], best[2]
+
+
 def score_documents(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, row_key, held_out, score and predicted of every document row.
 

@@ -114,3 +114,20 @@ def test_neighbour_sums_equal_a_loop():
         at = end
     got, counts = quality.neighbour_sums(t)
     assert np.allclose(got, want) and counts.sum() == 7
+
+
+def test_lone_words_do_not_add_up_over_a_text():
+    lexicon = toxicity.Lexicon(words=dict.fromkeys(toxicity.INSULT, toxicity.SEED_WEIGHT) | {"zorgu": 6.0})
+    grammar = toxicity.Grammar(lexicon)
+    for lone in ("trash", "an idiot walked by", "zorgu"):
+        assert grammar.score(f"{prose(1, 20_000)} {lone} {prose(2, 100)}") < toxicity.PREDICT_FROM
+    far = " ".join(f"{prose(i, 300)} trash" for i in range(20))
+    assert grammar.score(far) < toxicity.PREDICT_FROM < grammar.score(prose(1, 300) + " idiot clown trash " + prose(2, 300))
+    assert grammar.score(prose(1, 20_000) + ". you idiot. " + prose(2, 300)) >= toxicity.PREDICT_FROM
+
+
+def test_scale_is_fitted_on_training_rows(spark):
+    docs, labels, _ = labelled(spark)
+    lexicon = toxicity.fit(docs, labels)
+    assert (lexicon.centre, lexicon.slope) != (toxicity.Lexicon().centre, toxicity.Lexicon().slope)
+    assert toxicity.Grammar(lexicon).score(f"{prose(1, 20_000)} an idiot walked by") < toxicity.PREDICT_FROM
