@@ -6,6 +6,11 @@ transducers reads them clause by clause:
 * *insult* and *threat* words open a clause reading with their weight.  A seed
   lexicon is extended by words and word beginnings learned from labelled
   training rows (weighted log odds), so invented or foreign abuse counts too;
+* *threat* verbs match with an intent before them ("will", "i'll"), with an
+  addressed target behind them ("hurt you") or an object before ("dich töten"),
+  and as orders with any target ("kill yourself").  With another target of
+  their clause ("they attack her") they count as lone words do, as narration
+  reads alike.  Labels weigh each verb in each of these forms;
 * *target* words (second and third person) near such a word make the clause a
   match of full weight.  Insults without a target are *lone*: they count at a
   lower weight, and of the whole text only the densest passage of
@@ -31,7 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from kinweave.llm.batches import bound_batches
@@ -59,7 +64,12 @@ NEGATION = frozenset("not no never isn't aren't wasn't don't doesn't nobody nich
 REPORTED = frozenset("said says say told wrote writes called calls quoted according claimed alleged sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó".split())
 INSULT = frozenset("idiot idiots moron morons stupid scum trash worthless pathetic loser losers disgusting clown imbecile dumb dumbass fool bastard bitch asshole arschloch dummkopf abschaum trottel connard salope imbécile estúpido estúpida idiota basura imbécil".split())
 THREAT = frozenset("kill hurt beat destroy murder attack stab shoot punch töten umbringen schlagen tuer frapper détruire matar golpear destruir".split())
-INTENT = frozenset("will gonna going should must werde werden soll vais vas va voy vamos".split())
+INTENT = frozenset("will gonna going should must werde werden soll vais vas va voy vamos i'll we'll you'll he'll she'll they'll shall imma".split())
+#: Targets that are an object wherever they stand, and those that are one behind the verb.
+OBJECT = frozenset("dich dir euch te toi yourself".split())
+ADDRESSED = OBJECT | frozenset("you your yours u du ihr vous tu tú usted ustedes vosotros".split())
+#: Words that may open an order, before its verb.
+OPENING = frozenset("go just please now and then".split())
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?\n;]|[\"“”«»„]")
 STOPS = frozenset(".!?\n;")
@@ -85,6 +95,7 @@ class Lexicon:
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    threats: dict[str, float] = field(default_factory=dict)
     centre: float = 3.0
     slope: float = 1.5
 
@@ -104,6 +115,8 @@ class Grammar:
     def __init__(self, lexicon: Lexicon):
         self._lexicon = lexicon
         self._memo: dict[str, float] = {}
+        #: Threats of the text read last, as form and verb.
+        self.threats: set[str] = set()
 
     def _weight(self, word: str) -> float:
         w = self._memo.get(word)
@@ -121,10 +134,14 @@ class Grammar:
         open; a lexicon word emits its weight as changed by that state.  An
         insult waits up to ``REACH`` words of its clause for a target.
         """
+        self.threats.clear()
         if not text:
             return 0.0
         far = REACH + 1
         total, at = 0.0, 0
+        opened, objects = True, far
+        # a threat verb that may still find its target: verb, place, order, factor, whether a target went before
+        verb: tuple[str, int, bool, float, bool] | None = None
         target = negation = reported = intent = far
         quoted = False
         waiting = 0.0
@@ -132,18 +149,26 @@ class Grammar:
         passage: deque[tuple[int, float]] = deque()
         held, densest = 0.0, 0.0
 
-        def alone() -> None:
-            """The waiting word found no target; it joins the lone words of its passage."""
+        def alone(w: float, where: int) -> None:
+            """A word that found no target joins the lone words of its passage."""
             nonlocal held, densest
-            w = waiting * LONE
-            passage.append((waits_at, w))
-            held += w
-            while passage[0][0] <= waits_at - PASSAGE:
+            passage.append((where, w * LONE))
+            held += w * LONE
+            while passage[0][0] <= where - PASSAGE:
                 held -= passage.popleft()[1]
             densest = max(densest, held)
 
+        def threat(form: str, word: str) -> float:
+            self.threats.add(f"{form} {word}")
+            return self._lexicon.threats.get(f"{form} {word}", SEED_WEIGHT)
+
+        def told() -> None:
+            """The waiting verb found no object; a target before it makes it narration."""
+            if verb and verb[4]:
+                alone(min(threat("told", verb[0]), SEED_WEIGHT) * verb[3], verb[1])
+
         memo, weigh = self._memo, self._weight
-        for word in WORD.findall(text.lower()):
+        for word in WORD.findall(text.lower().replace("\u2019", "'")):
             w = memo.get(word)
             if w is None:
                 w = weigh(word)
@@ -153,29 +178,47 @@ class Grammar:
                 negation += 1
                 reported += 1
                 intent += 1
+                objects += 1
+                opened = word in OPENING and opened
                 continue
             if word in STOPS:
                 if waiting:
-                    alone()
+                    alone(waiting, waits_at)
                     waiting = 0.0
-                target = negation = reported = intent = far
+                told()
+                verb = None
+                target = negation = reported = intent = objects = far
+                opened = True
                 continue
             if word in QUOTES:
                 quoted = not quoted
                 continue
             at += 1
-            target, negation, reported, intent = target + 1, negation + 1, reported + 1, intent + 1
+            target, negation, reported, intent, objects = target + 1, negation + 1, reported + 1, intent + 1, objects + 1
             factor = (NEGATED if negation <= REACH - 1 else 1.0) * (QUOTED if quoted and reported <= 2 * REACH else 1.0)
-            if word in THREAT and intent <= REACH:
-                total += max(w, SEED_WEIGHT) * (TARGETED if target <= REACH else 1.0) * factor
+            if word in THREAT:
+                told()
+                verb = None
+                if intent <= REACH or objects <= REACH:
+                    total += threat("direct", word) * (TARGETED if target <= REACH else 1.0) * factor
+                else:
+                    verb = (word, at, opened, factor, target <= REACH)
             elif w and target <= REACH:
                 total += w * TARGETED * factor
             elif w:
                 if waiting:
-                    alone()
+                    alone(waiting, waits_at)
                 waiting, waits_at = min(w, SEED_WEIGHT) * factor, at
             if word in TARGET:
                 target = 0
+                if word in OBJECT:
+                    objects = 0
+                if verb and at - verb[1] <= REACH:
+                    if verb[2] or word in ADDRESSED:
+                        total += threat("direct", verb[0]) * TARGETED * verb[3]
+                        verb = None
+                    else:
+                        verb = (*verb[:4], True)
                 if waiting and at - waits_at <= REACH:  # the target may follow: "idiot, you ..."
                     total += waiting * TARGETED
                     waiting = 0.0
@@ -185,8 +228,10 @@ class Grammar:
                 reported = 0
             elif word in INTENT:
                 intent = 0
+            opened = word in OPENING and opened
         if waiting:
-            alone()
+            alone(waiting, waits_at)
+        told()
         if densest and at > PASSAGE:
             densest = max(0.0, densest - LENGTH_TERM * math.log(at / PASSAGE))
         return total + densest
@@ -225,10 +270,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             n.clear()
             return out
 
+        grammar = Grammar(Lexicon())
         for rows in batches:
             for text, y in zip(rows["text"], rows["y"], strict=True):
                 words, stems = _features(text or "")
-                for key in [("w", "*"), *(("w", w) for w in words), *(("s", s) for s in stems)]:
+                grammar.accepted(text)
+                for key in [("w", "*"), *(("w", w) for w in words), *(("s", s) for s in stems), *(("t", t) for t in grammar.threats)]:
                     n[key][1 if y else 0] += 1
                 if len(n) >= HELD_COUNTS:
                     yield flush()
@@ -236,19 +283,27 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             yield flush()
 
     counts = sample.mapInPandas(count, "kind string, entry string, clean long, toxic long").groupBy("kind", "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = materialize(counts.filter((F.col("toxic") >= LEAST_SUPPORT) & (F.col("toxic") > 8 * F.col("clean")) | (F.col("entry") == "*")), "lexicon")
+    counts = materialize(counts.filter((F.col("toxic") >= LEAST_SUPPORT) & (F.col("toxic") > 8 * F.col("clean")) | (F.col("entry") == "*") | (F.col("kind") == "t")), "lexicon")
     lexicon = Lexicon(words=dict.fromkeys(INSULT, SEED_WEIGHT))
     everything = counts.filter("entry = '*'").first()
     if everything and everything["clean"] and everything["toxic"]:
         enough = F.col("toxic") >= LEAST_SHARE * everything["toxic"]
-        for r in counts.filter("entry <> '*'").filter(enough).orderBy(F.desc("toxic"), "entry", "kind").limit(LEXICON_SIZE).collect():
-            odds = math.log((r["toxic"] + 0.5) / (everything["toxic"] + 1.0)) - math.log((r["clean"] + 0.5) / (everything["clean"] + 1.0))
+        for r in counts.filter("kind = 't'").collect():  # at most two per threat verb
+            if r["clean"] + r["toxic"] >= LEAST_SUPPORT:
+                lexicon.threats[r["entry"]] = min(6.0, max(_odds(r, everything), 0.0))
+        for r in counts.filter("entry <> '*' and kind <> 't'").filter(enough).orderBy(F.desc("toxic"), "entry", "kind").limit(LEXICON_SIZE).collect():
+            odds = _odds(r, everything)
             if odds >= LEAST_ODDS or not r["clean"]:
                 (lexicon.words if r["kind"] == "w" else lexicon.stems)[r["entry"]] = min(6.0, max(odds, 0.0))
         _fit_scale(sample, lexicon)
     return lexicon
 
 
+def _odds(r: Row, everything: Row) -> float:
+    """Log odds of an entry between toxic and clean sample texts."""
+    return math.log((r["toxic"] + 0.5) / (everything["toxic"] + 1.0)) - math.log((r["clean"] + 0.5) / (everything["clean"] + 1.0))
+
+
 def _fit_scale(sample: DataFrame, lexicon: Lexicon) -> None:
     """Set centre and slope by the accepted weights of the sample rows.
 

@@ -131,3 +131,20 @@ def test_scale_is_fitted_on_training_rows(spark):
     lexicon = toxicity.fit(docs, labels)
     assert (lexicon.centre, lexicon.slope) != (toxicity.Lexicon().centre, toxicity.Lexicon().slope)
     assert toxicity.Grammar(lexicon).score(f"{prose(1, 20_000)} an idiot walked by") < toxicity.PREDICT_FROM
+
+
+def test_threats_need_a_target_or_an_intent(spark):
+    seeds = dict.fromkeys(toxicity.INSULT, toxicity.SEED_WEIGHT)
+    grammar = toxicity.Grammar(toxicity.Lexicon(words=seeds))
+    for text in ("I'll kill you", "I’ll kill you", "I want to hurt you", "we are coming to stab you", "kill yourself", "go kill yourself", "ich möchte dich töten", "I shall hurt him"):
+        assert grammar.score(f"{prose(1, 300)}. {text}. {prose(2, 300)}") >= toxicity.PREDICT_FROM, text
+    for text in ("to kill time", "they attack the problem", "she hurt her knee", "you beat the eggs"):
+        assert grammar.score(text) < toxicity.PREDICT_FROM, text
+    assert grammar.accepted("they attack her") > 0 == grammar.accepted("the attack")
+    rows, labels = [], []
+    for i in range(80):
+        rows.append((i, f"{prose(i, 60)}. {('we hurt you', 'we punch you')[i % 2]}. {prose(i + 99, 60)}"))
+        labels.append((i, 1, 1 - i % 2))
+    lexicon = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    learned = toxicity.Grammar(lexicon)
+    assert learned.accepted("we hurt you") > learned.accepted("we punch you") == 0
