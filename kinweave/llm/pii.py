@@ -13,8 +13,9 @@ stands for:
    spaced signs become ``@`` and ``.``.
 
 The patterns then run over the rewritten window, and what they find is mapped
-back to source characters.  A span that meets a base span of its kind is the
-same find and is not added again.
+back to source characters.  A span inside a base span of its kind is the same
+find and is not added again; one that reaches beyond a base span is added, as
+the base span is only a fragment of it, and the two overlap.
 """
 
 from __future__ import annotations
@@ -252,11 +253,10 @@ def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base = base_spans(text)
-    taken: dict[str, list[tuple[int, int]]] = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
-    added = []
+    added: list[Span] = []
     for kind, a, b in sorted(set(disguised_spans(text)), key=lambda s: (s[1], -s[2])):
-        if all(b <= x or y <= a for x, y in taken[kind]):
-            taken[kind].append((a, b))
+        inside = any(k == kind and x <= a and b <= y for k, x, y in base)
+        if not inside and all(b <= x or y <= a for k, x, y in added if k == kind):
             added.append((kind, a, b))
     return base, added
 

@@ -77,3 +77,19 @@ def test_documents(spark):
 def test_long_runs_stay_linear():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 100_000, "@" * 100_000, "one " * 50_000, "a at b dot " * 20_000):
         pii.find_spans(text)
+
+
+FRAGMENTS = [
+    ("jоhn@example.com see", "email", "jоhn@example.com"),
+    ("jo​hn@example.com see", "email", "jo​hn@example.com"),
+    ("write a@mail.exаmple.com", "email", "a@mail.exаmple.com"),
+    ("call +49 1512345 67O8 now", "phone", "+49 1512345 67O8"),
+]
+
+
+@pytest.mark.parametrize("text, kind, span", FRAGMENTS)
+def test_spans_beyond_a_base_span_are_added(text, kind, span):
+    for before in ("", "plain words " * 40):
+        base, added = pii.find_spans(before + text)
+        assert base == pii.base_spans(before + text) and base
+        assert [(k, (before + text)[a:b]) for k, a, b in added] == [(kind, span)]
