@@ -115,7 +115,8 @@ _SPELLED = re.compile(rf"\b(?:plus{_GAP})?{_ONE_NUMBER}\b(?:{_GAP}(?:{_ONE_NUMBE
 _NUMBER_WORD = re.compile(rf"\b(?:{_ONE_NUMBER}|plus|[0-9]+)\b", re.I)
 # Words and brackets for at and dot.
 _AT, _DOT = "at|ät|arobase|arroba|chez|klammeraffe", "dot|punkt|point|punto"
-# Top-level domains that end a disguised address without brackets.
+# Top-level domains that end an address of spaced plain signs; after
+# a named sign any label may end it.
 _TLD = "com|org|net|edu|gov|mil|int|info|biz|io|ai|co|uk|de|fr|es|it|nl|eu|ch|be|us|ca|au|jp|cn|ru|br|in|me|tv|app|dev|example|test|invalid|local"
 # Letters that stand for digits between digits.
 _LEET = {"O": "0", "o": "0", "I": "1", "l": "1", "|": "1", "Z": "2", "S": "5", "B": "8"}
@@ -125,10 +126,16 @@ _DOT_MARK = re.compile(rf"\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*", re.I)
 _AT_WORD = rf"\s+(?:{_AT})\s+|\s*[_-]+at[_-]+\s*|\s*@\s*"
 _DOT_WORD = rf"\s+(?:{_DOT})\s+|\s*[_-]+dot[_-]+\s*|\s+\.\s*|\.\s+|\."
 _BARE = re.compile(rf"(?<=[a-z0-9])({_AT_WORD})([a-z0-9-]+(?:(?:{_DOT_WORD})[a-z0-9-]+)*)(?:{_DOT_WORD})(?:{_TLD})\b(?![a-z0-9-])", re.I)
+_LABEL = r"[a-z0-9](?:[a-z0-9]|-+(?!-*dot[_-]))*+"
+_STRICT_DOT = rf"\s+(?:{_DOT})\s+|[_-]+dot[_-]+|\."
+_NAMED = re.compile(rf"(?<=[a-z0-9])({_AT_WORD})((?:{_LABEL}(?:{_STRICT_DOT}))++[a-z]{{2,24}})(?![\w-])", re.I)
+# Words before a dot word that show prose ("at the dot").
+_BEFORE_PROSE = re.compile(rf"\b(?:the|a|an|this|that|each|every|any|one|some|no|which|what|le|la|un|ce|au|el|der|den|dem|ein|einen|diesem)\s+(?:{_DOT})\s", re.I)
 _BARE_DOT = re.compile(_DOT_WORD, re.I)
 _NAMED_DOT = re.compile(rf"\b(?:{_DOT})\b|[_-]dot[_-]", re.I)
+_NAMED_SIGN = re.compile(_STRICT_DOT, re.I)
 _DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:\s+(?:{_DOT})\s+|\s+\.\s*|\.\s+)(?=[0-9])", re.I)
-_HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|a|@|{_DOT}|\.)\s*{_CLOSE}|\s@|@\s|\b(?:{_DOT})\b|[_-](?:at|dot)[_-]|\s(?:{_AT})\s+[a-z0-9.-]+\.(?:{_TLD})\b|[0-9]\s+\.\s+[0-9]", re.I)
+_HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|a|@|{_DOT}|\.)\s*{_CLOSE}|\s@|@\s|\b(?:{_DOT})\b|[_-](?:at|dot)[_-]|\s(?:{_AT})\s+[a-z0-9-][a-z0-9.-]*\.[a-z]{{2}}|[0-9]\s+\.\s+[0-9]", re.I)
 _DIGITLIKE = "0-9" + "".join(re.escape(c) for c in _LEET)
 _LEET_HINT = re.compile("[0-9][ -]?[" + "".join(re.escape(c) for c in _LEET) + "]|[" + "".join(re.escape(c) for c in _LEET) + "][ -]?[0-9]")
 _LEET_RUN = re.compile(rf"(?<![\w+])\+?[{_DIGITLIKE}][{_DIGITLIKE} ().-]{{6,}}[{_DIGITLIKE}](?!\w)")
@@ -197,6 +204,14 @@ def _signs(tape: Tape) -> None:
         edits.append((m.start(1), m.end(1), "@"))
         edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(tape.text, m.end(1), m.end())]
     tape.rewrite(edits)
+    edits = []
+    for m in _NAMED.finditer(tape.text):
+        sign, dots = m[1].strip().lower(), {d[0].lower().strip("_-") for d in _NAMED_DOT.finditer(m[2])}
+        if sign == "@" and not dots or sign in ("at", "chez") and dots == {"point"} or _BEFORE_PROSE.search(m[2]):
+            continue  # nothing named, or prose: "at this point he"
+        edits.append((m.start(1), m.end(1), "@"))
+        edits += [(d.start(), d.end(), ".") for d in _NAMED_SIGN.finditer(tape.text, m.end(1), m.end())]
+    tape.rewrite(edits)
 
 
 def _leet(tape: Tape) -> None:

@@ -93,3 +93,21 @@ def test_spans_beyond_a_base_span_are_added(text, kind, span):
         base, added = pii.find_spans(before + text)
         assert base == pii.base_spans(before + text) and base
         assert [(k, (before + text)[a:b]) for k, a, b in added] == [(kind, span)]
+
+
+NAMED = ["anna at firma dot se", "anna at firma.no", "anna [at] firma dot pl", "jan@firma dot dk", "anna at firma punkt ch dot online", "anna_at_firma_dot_xyz"]
+
+
+@pytest.mark.parametrize("text", NAMED)
+def test_named_signs_take_any_last_label(text):
+    assert ("email", 5, 5 + len(text)) in pii.find_spans("mail " + text + " now")[1]
+
+
+@pytest.mark.parametrize("text", ["at this point he left", "look at the dot on it", "at what point did they", "she @ home . Then"])
+def test_prose_with_named_signs_is_left_alone(text):
+    assert pii.find_spans("we " + text) == ([], [])
+
+
+def test_named_signs_stay_linear():
+    for text in ("a at " + "b-" * 20_000, "a@" + "b." * 20_000, "a at b dot " * 5_000):
+        pii.find_spans(text)
