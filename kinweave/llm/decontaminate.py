@@ -28,7 +28,7 @@ from kinweave.llm.rows import packed, unpacked
 EDIT_SHARE = 0.06
 #: Pieces shorter than this would hit everywhere; fewer edits are allowed instead.
 LEAST_PIECE = 12
-#: Items shorter than this in normal form carry too little to be evidence.
+#: Items shorter than this in normal form match as whole words only, without edits.
 LEAST_ITEM = 24
 #: Characters of items that one pass over the documents searches for; a larger
 #: benchmark takes several passes, so what is broadcast never grows with it.
@@ -36,6 +36,8 @@ BLOCK_CHARS = 8_000_000
 RESULT = "doc_id long, row_key long, item_id long, distance int, budget int, start int, stop int"
 
 _APART = re.compile(r"[\W_]+")
+#: Scripts that write words without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal_form(text: str | None) -> str:
@@ -90,13 +92,20 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def whole_words(text: str, start: int, stop: int) -> bool:
+    """Whether a passage of a normal form begins and ends where words may."""
+    cuts = [text[at - 1 : at + 1] for at in (start, stop) if 0 < at < len(text)]
+    return all(" " in cut or _UNSPACED.search(cut) for cut in cuts)
+
+
 class Matcher:
-    """Finds a block of items in texts."""
+    """Finds a block of items in texts; items may share an id or have none."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
+    def __init__(self, items: list[tuple[int | None, str]], share: float):
         import ahocorasick
 
-        self._items = {i: (text, error_budget(text, share)) for i, text in items}
+        self._ids = [i for i, _ in items]
+        self._items = {no: (text, error_budget(text, share) if len(text) >= LEAST_ITEM else 0) for no, (_, text) in enumerate(items)}
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (text, budget) in self._items.items():
             for at, piece in pieces(text, budget):
@@ -106,8 +115,8 @@ class Matcher:
             self._auto.add_word(piece, (len(piece), where))
         self._auto.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item, distance, budget, start, stop) of the best passage of each item."""
+    def find(self, text: str) -> list[tuple[int | None, int, int, int, int]]:
+        """(item id, distance, budget, start, stop) of the best passage of each item."""
         best: dict[int, tuple[int, int, int]] = {}
         done: set[tuple[int, int]] = set()
         for end, (size, where) in self._auto.iter(text):
@@ -116,6 +125,10 @@ class Matcher:
                 if item in best and best[item][0] == 0:
                     continue
                 start = end + 1 - size - at
+                if len(pattern) < LEAST_ITEM:
+                    if whole_words(text, start, start + size):
+                        best[item] = (0, start, start + size)
+                    continue
                 zone = start // (budget + 1)
                 if (item, zone) in done:
                     continue
@@ -129,16 +142,16 @@ class Matcher:
                 distance, stop = myers(pattern, text[low:high])
                 if distance <= budget and (item not in best or distance < best[item][0]):
                     best[item] = (distance, max(0, low + stop - len(pattern)), low + stop)
-        return [(i, d, self._items[i][1], a, b) for i, (d, a, b) in sorted(best.items())]
+        return [(self._ids[i], d, self._items[i][1], a, b) for i, (d, a, b) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """Items in normal form, streamed to the driver, a bounded block at a time."""
-    held: list[tuple[int, str]] = []
+    held: list[tuple[int | None, str]] = []
     size = 0
-    for row in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
         item = normal_form(row["text"])
-        if len(item) < LEAST_ITEM:
+        if not item:
             continue
         held.append((row["item_id"], item))
         size += len(item)
@@ -154,10 +167,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, edit_share: float =
 
     Result: doc_id, row_key (hash of the text, tells rows of one doc_id
     apart), item_id, distance, budget, start and stop of the best passage in
-    the document's normal form.  Null or empty texts and items, items under
-    ``LEAST_ITEM`` characters and items without an id match nothing; a null
-    doc_id is carried through.  Repeated rows give repeated pairs.  Of items
-    that repeat an id the last text counts.  Other columns are ignored.
+    the document's normal form.  Null texts and items, and those without a letter
+    or digit, match nothing; items under ``LEAST_ITEM`` characters match as whole
+    words, without edits.  A null doc_id or item_id is carried through.  Repeated
+    rows give repeated pairs; each text of a repeated item_id counts.  Other
+    columns are ignored.
     """
     bound_batches(documents.sparkSession)
     spark = documents.sparkSession
@@ -170,7 +184,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, edit_share: float =
             matcher = Matcher(shared.value, edit_share)
             for rows in batches:
                 hits = [(i, k, *hit) for i, k, t in zip(rows["doc_id"], rows["row_key"], rows["text"], strict=True) if t for hit in matcher.find(normal_form(t))]
-                yield pd.DataFrame(hits, columns=["doc_id", "row_key", "item_id", "distance", "budget", "start", "stop"])
+                out = pd.DataFrame(hits, columns=["doc_id", "row_key", "item_id", "distance", "budget", "start", "stop"])
+                yield out.assign(item_id=pd.array([h[2] for h in hits], "Int64"))
 
         part = texts.mapInPandas(search, RESULT)
         found = part if found is None else found.unionByName(part)

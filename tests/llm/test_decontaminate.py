@@ -73,3 +73,13 @@ def test_repeated_and_empty(spark):
     assert d.contaminated(documents(spark, []), bench).count() == 0
     assert d.contaminated(documents(spark, [(1, text)]), bench.limit(0)).count() == 0
     assert d.clean_documents(documents(spark, [(1, text), (1, "fine")]), bench).count() == 1
+
+
+def test_no_item_is_dropped_before_the_search(spark):
+    bench = [(7, prose(60, 30)), (7, prose(61, 30)), (None, prose(62, 30)), (9, "What is 17 plus 25?"), (10, "中国的首都是哪里？"), (2**60 + 1, prose(63, 30)), (11, "?!")]
+    rows = [(1, bench[0][1]), (2, bench[1][1]), (3, bench[2][1]), (4, "so: what is 17, plus 25"), (5, "我问你中国的首都是哪里吗"), (6, "what is 17 plus 256"), (7, bench[5][1]), (8, prose(90, 80) + " ?!")]
+    docs, table = documents(spark, rows), spark.createDataFrame(bench, "item_id long, text string")
+    want = [(1, 7), (2, 7), (3, None), (4, 9), (5, 10), (7, 2**60 + 1)]
+    for block in (d.BLOCK_CHARS, 10):
+        assert sorted(((r.doc_id, r.item_id) for r in d.contaminated(docs, table, block_chars=block).collect())) == want
+    assert sorted(r.doc_id for r in d.clean_documents(docs, table).collect()) == [6, 8]
