@@ -48,7 +48,7 @@ _MUL = _RNG.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 64, HASHES, np.uint64)
 _BAND = _RNG.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 _BAND_NO = _RNG.integers(0, 1 << 64, BANDS, np.uint64)
-_SIG = "doc_id long, n_shingles long, set_lo long, set_hi long, bands array<long>, minima binary"
+_SIG = "doc_id long, row_key long, n_shingles long, set_lo long, set_hi long, bands array<long>, minima binary"
 
 
 def minima(sets: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
@@ -85,6 +85,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": rows["doc_id"].iloc[at : at + len(sets)].array,
+                        "row_key": rows["row_key"].iloc[at : at + len(sets)].array,
                         "n_shingles": [len(s) for s in sets],
                         "set_lo": lo,
                         "set_hi": hi,
@@ -94,7 +95,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 )
                 at += len(sets)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, _SIG)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_key")).mapInPandas(sign, _SIG)
 
 
 @F.pandas_udf(DoubleType())
@@ -103,21 +104,23 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean()) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Full shingle sets, as bytes, of the documents in ``wanted`` (rep)."""
+def _full_sets(documents: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """Full shingle sets, as bytes, of the classes in ``wanted`` (rep), from one row of each."""
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for rows in batches:
             at = 0
             for sets in shingle_sets(rows["text"].tolist()):
-                ids = rows["doc_id"].iloc[at : at + len(sets)].tolist()
+                reps = rows["rep"].iloc[at : at + len(sets)].tolist()
                 at += len(sets)
-                new = [(i, s) for i, s in zip(ids, sets, strict=True) if (i, mark := int(s.sum())) not in seen and not seen.add((i, mark))]
-                yield pd.DataFrame({"rep": [i for i, _ in new], "members": [s.tobytes() for _, s in new]})
+                new = [(r, s) for r, s in zip(reps, sets, strict=True) if r not in seen and not seen.add(r)]
+                yield pd.DataFrame({"rep": [r for r, _ in new], "members": [s.tobytes() for _, s in new]})
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(sets_of, "rep long, members binary")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("text"))
+    rows = classes.join(wanted.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("first_id").alias("doc_id"), "row_key")
+    found = texts.join(rows, ["doc_id", "row_key"]).select("rep", "text").mapInPandas(sets_of, "rep long, members binary")
+    return found.dropDuplicates(["rep"])  # rows that repeat id and text
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> DataFrame:
@@ -186,24 +189,32 @@ def _as_longs(members: pd.Series) -> pd.Series:
 
 
 def near_duplicates(documents: DataFrame, limit: tuple[int, int] = LIMIT, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, kept, set_lo, set_hi.
+    """One row per document row: doc_id, row_key, n_shingles, component_id, kept, set_lo, set_hi.
 
     Null or empty text, or no words: n_shingles 0, linked with nothing, kept.
     Null doc_id: a component of its own with a null id, kept, and never linked.
-    Rows that repeat a doc_id are judged by their own texts, and count as linked
-    where one id is the smallest of several texts.  An empty table gives an
-    empty result; other columns are ignored.
+    Rows that repeat a doc_id are judged by their own texts.  component_id is the
+    smallest doc_id of a component, so components whose smallest id is the same
+    share it; of several texts of a component under that id, the one with the
+    smallest row_key (hash of the text) is kept.  An empty table gives an empty
+    result; other columns are ignored.
     """
     bound_batches(documents.sparkSession)
     known = materialize(signatures(documents), "signatures")
     named = known.filter("doc_id is not null and n_shingles > 0")
-    classes = materialize(named.groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "minima"), "doc_id").alias("x")).select("set_lo", "set_hi", "rep", "x.*"), "classes")
+    first_row = F.min_by(F.struct("n_shingles", "bands", "minima", "row_key"), F.struct("doc_id", "row_key"))
+    classes = materialize(named.groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("first_id"), first_row.alias("x")).select("set_lo", "set_hi", "first_id", F.col("first_id").alias("rep"), "x.*"), "classes")
+    shared = materialize(classes.groupBy("first_id").agg(F.count("*").alias("n"), F.min(F.struct("set_lo", "set_hi")).alias("own")).filter("n > 1").select("first_id", "own"), "shared")
+    unique = shared.isEmpty()
+    if not unique:  # a class needs a name of its own where one id has several texts
+        other = F.col("own").isNotNull() & (F.struct("set_lo", "set_hi") != F.col("own"))
+        classes = materialize(classes.join(shared, "first_id", "left").withColumn("rep", F.when(other, F.xxhash64("set_lo", "set_hi")).otherwise(F.col("rep"))).drop("own"), "classes")
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = materialize(keyed.join(hubs, "key").select("key", "rep", "hub"), "buckets")
     stars = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     first = materialize(_likely(stars, classes, ESTIMATE_FLOOR), "pairs")
-    sets = materialize(_full_sets(documents, first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).unionByName(_inner_members(members))), "sets")
+    sets = materialize(_full_sets(documents, first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).unionByName(_inner_members(members)), classes), "sets")
     links = materialize(_confirm(first, sets, limit), "links")
     parts = materialize(connected_components(links), "parts")
     open_, few, many = _across(members, parts, small_bucket)
@@ -215,12 +226,16 @@ def near_duplicates(documents: DataFrame, limit: tuple[int, int] = LIMIT, small_
         parts = materialize(connected_components(links.unionByName(_confirm(tested, sets, limit))), "parts")
     for table in (members, first, tested, sets, links):  # what follows reads none of them
         discard(table)
-    own = classes.select("rep", "set_lo", "set_hi")
-    label = own.join(parts, own["rep"] == parts["node"], "left").select("set_lo", "set_hi", F.coalesce("component", "rep").alias("component"))
-    out = known.join(label, ["set_lo", "set_hi"], "left")
+    own = classes.select("rep", "set_lo", "set_hi", "first_id", F.col("row_key").alias("kept_key"))
+    label = own.join(parts, own["rep"] == parts["node"], "left").withColumn("component", F.coalesce("component", "rep"))
+    if not unique:  # names of classes aren't ids
+        winner = label.groupBy("component").agg(F.min(F.struct("first_id", "kept_key")).alias("w")).select("component", "w.*")
+        label = label.drop("first_id", "kept_key").join(winner, "component").withColumn("component", F.col("first_id"))
+    out = known.join(label.select("set_lo", "set_hi", "component", "kept_key"), ["set_lo", "set_hi"], "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "set_lo", "set_hi")
+    kept = ~linked | ((F.col("doc_id") == F.col("component")) & (F.col("row_key") == F.col("kept_key")))
+    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), kept.alias("kept"), "set_lo", "set_hi")
 
 
 def _inner_members(members: DataFrame) -> DataFrame:
@@ -230,14 +245,15 @@ def _inner_members(members: DataFrame) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:
-    """One document of each group: that with the smallest id, with its columns.
+    """One document of each group: that with the smallest id, then text hash, with its columns.
 
     Documents without words and without an id all stay.  Of rows that repeat
     both id and text one stays.
     """
     found = near_duplicates(documents)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = packed(documents).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
+    rows = packed(documents).withColumn("row_key", F.xxhash64("text"))
+    left = rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left_anti")
     again = documents.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("again_id")).agg(F.count("*").alias("n")).filter("n > 1").select("again_id")
     if not again.isEmpty():
         same = F.col("doc_id") == F.col("again_id")

@@ -94,3 +94,10 @@ def test_minima_estimate_similarity():
     low = neardup.minima([a, b])
     assert abs((low[0] == low[1]).mean() - 0.75) < 0.16
     assert (neardup.minima([a, b], chunk=50) == low).all()
+
+
+def test_rows_of_one_id_are_kept_by_their_own_texts(spark):
+    rows = [(1, prose(1, 80)), (5, prose(1, 80)), (5, prose(2, 80)), (7, prose(3, 80)), (7, prose(3, 82)), (8, prose(3, 81)), (9, prose(4, 80)), (9, prose(5, 80)), (10, prose(5, 81))]
+    kept = [(r.doc_id, r.text) for r in neardup.kept_documents(documents(spark, rows)).collect()]
+    assert (5, prose(2, 80)) in kept and (5, prose(1, 80)) not in kept
+    assert sorted(i for i, _ in kept) == [1, 5, 7, 9, 9]
