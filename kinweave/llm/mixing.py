@@ -13,7 +13,8 @@ Documents may belong to several sources.  The operator works in three steps:
 Step 3 needs a running sum over all documents of a pattern.  One pattern may
 hold a third of all rows, so the sum is taken over two levels: hash cells
 inside a pattern are summed first, cell starts come from the small table of
-cells, and only inside one cell are documents ordered.
+cells, and only inside one cell are documents ordered.  Equal rows are one unit
+with a count, so however many there are, they are never numbered one by one.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ WEIGHT_CYCLE = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 CELL_ROWS = 512
+#: Equal rows that are told apart by one task at a time.
+CHUNK_ROWS = 4096
+#: Membership patterns that the driver's network takes.
+MAX_PATTERNS = 20_000
 #: Tables of patterns or sources up to this many rows are broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -143,17 +148,17 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def _ordered_starts(sized: DataFrame, seed: int, n_rows: int) -> DataFrame:
-    """Add ``before``: the tokens of a pattern that precede a document.
+def _ordered_starts(units: DataFrame, seed: int, n_rows: int) -> DataFrame:
+    """Add ``before``: the tokens of a pattern that precede a unit.
 
-    Documents of a pattern are ordered by (cell, hash, doc_id, row key).  The
+    Units of a pattern are ordered by (cell, hash, doc_id, row key).  The
     number of cells grows with the table, so a cell stays at some thousand
     rows however large one pattern is.
     """
     cells = max(1, n_rows // CELL_ROWS)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row_key"))
-    sized = sized.withColumns({"_order": order, "_cell": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("row_key")), F.lit(cells))})
-    per_cell = sized.groupBy("pattern", "_cell").agg(F.sum("size").alias("_tokens"))
+    units = units.withColumns({"weight": F.col("size") * F.col("rows"), "_order": order, "_cell": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("row_key")), F.lit(cells))})
+    per_cell = units.groupBy("pattern", "_cell").agg(F.sum("weight").alias("_tokens"))
     group = (F.col("_cell") / 1024).cast("long")
     per_group = per_cell.groupBy("pattern", group.alias("_group")).agg(F.sum("_tokens").alias("_group_tokens"))
     up_to = (Window.unboundedPreceding, -1)
@@ -161,9 +166,18 @@ def _ordered_starts(sized: DataFrame, seed: int, n_rows: int) -> DataFrame:
     per_cell = per_cell.withColumn("_group", group).join(per_group.drop("_group_tokens"), ["pattern", "_group"])
     inside = Window.partitionBy("pattern", "_group").orderBy("_cell").rowsBetween(*up_to)
     per_cell = per_cell.select("pattern", "_cell", (F.col("_group_start") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0))).alias("_cell_start"))
-    in_cell = Window.partitionBy("pattern", "_cell").orderBy("_order", "doc_id", "row_key").rowsBetween(*up_to)
-    placed = sized.withColumn("_inside", F.coalesce(F.sum("size").over(in_cell), F.lit(0)))
-    return placed.join(per_cell, ["pattern", "_cell"]).withColumn("before", F.col("_cell_start") + F.col("_inside")).drop("_cell", "_order", "_inside", "_cell_start")
+    in_cell = Window.partitionBy("pattern", "_cell").orderBy("_order", "doc_id", "row_key", "size").rowsBetween(*up_to)
+    placed = units.withColumn("_inside", F.coalesce(F.sum("weight").over(in_cell), F.lit(0)))
+    return placed.join(per_cell, ["pattern", "_cell"]).withColumn("before", F.col("_cell_start") + F.col("_inside")).drop("_cell", "_order", "_inside", "_cell_start", "weight")
+
+
+def _one_by_one(counted: DataFrame, count: str) -> DataFrame:
+    """Each row as often as ``count`` says, with ``at`` from 0; large counts are dealt out in chunks first."""
+    few = counted.filter(F.col(count) <= CHUNK_ROWS).filter(F.col(count) > 0)
+    many = counted.filter(F.col(count) > CHUNK_ROWS).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / CHUNK_ROWS).cast("long"))))
+    first = F.col("_chunk") * CHUNK_ROWS
+    dealt = many.repartition("_chunk").withColumn("at", F.explode(F.sequence(first, F.least(first + CHUNK_ROWS, F.col(count)) - 1))).drop("_chunk")
+    return few.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))).unionByName(dealt)
 
 
 def mix(
@@ -177,58 +191,87 @@ def mix(
 
     ``members`` has doc_id, row_key (tells rows with the same doc_id apart),
     size (long) and sources (array of strings, a null element is the unnamed
-    source).  Returns its rows with ``copies`` (0 to ``max_repeats``) and the
-    quotas by source, ordered by code point with null last.
-
-    The number of sources and patterns is small by assumption (they name data
-    sets); the driver sees one row per pattern.  Documents of size 0 are never
-    taken.  A document is taken when its middle token lies inside the flow, so
-    the taken tokens differ from a quota by half a document at most.
+    source); other columns are ignored.  Equal rows are one *unit*.  Returns
+    the units with ``rows`` (how many rows are equal) and ``taken`` (array of
+    ``max_repeats``: how many of them are used at least once, twice, ...), and
+    the quotas by source, ordered by code point with null last.
+
+    Sources name data sets: the driver sees one row per membership pattern,
+    and more than ``MAX_PATTERNS`` of them are refused, never cut off.
+    Documents of size 0 are never taken.  A document is taken when its middle
+    token lies inside the flow, so the taken tokens differ from a quota by half
+    a document at most.
     """
-    sized = members.withColumn("pattern", F.to_json(F.struct(F.array_sort(F.array_distinct("sources")).alias("s"))))
-    found = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct("sources")).alias("s")))
+    units = members.groupBy("doc_id", "row_key", "size", pattern.alias("pattern")).agg(F.count("*").alias("rows"), F.first("sources").alias("sources"))
+    found = units.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum(F.col("size") * F.col("rows")).alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns of sources; group the sources first")
     found = sorted(found, key=lambda r: r["pattern"])
     names = sorted({s for r in found for s in r["sources"]}, key=lambda s: (s is None, s or ""))
-    size = {s: sum(r["size"] for r in found if s in r["sources"]) for s in names}
+    size = dict.fromkeys(names, 0)
+    for r in found:
+        for s in set(r["sources"]):
+            size[s] += r["size"]
     everything = sum(r["size"] for r in found)
     quotas = share_targets([(s, size[s]) for s in names], [float(weights[i % len(weights)]) for i in range(len(names))], total_share * everything, max_repeats)
     at = {s: i for i, s in enumerate(names)}
     flow = min_cost_flow([r["size"] for r in found], [[at[s] for s in dict.fromkeys(r["sources"])] for r in found], [round(q.target) for q in quotas], max_repeats)
-    plan = [(r["pattern"], k, sum(by_source[k] for by_source in flow[p])) for p, r in enumerate(found) for k in range(max_repeats)]
-    spark = members.sparkSession
-    limits = spark.createDataFrame([(p, [x[2] for x in plan if x[0] == p]) for p in dict.fromkeys(x[0] for x in plan)], "pattern string, limits array<long>")
-    placed = _ordered_starts(sized, seed, sum(r["n"] for r in found)).join(_small(limits, len(found)), "pattern")
-    middle = F.col("before") + F.col("size") / 2
-    taken = F.aggregate("limits", F.lit(0), lambda n, most: n + (middle < most).cast("int"))
-    return placed.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0)).drop("limits", "before", "pattern"), quotas
+    plan = [(r["pattern"], [sum(by_source[k] for by_source in flow[p]) for k in range(max_repeats)]) for p, r in enumerate(found)]
+    limits = members.sparkSession.createDataFrame(plan, "pattern string, limits array<long>")
+    placed = _ordered_starts(units, seed, sum(r["n"] for r in found)).join(_small(limits, len(found)), "pattern")
+    # of the equal rows at before, before + size, ... those with their middle inside the limit
+    inside = lambda most: F.greatest(F.lit(0), F.least(F.col("rows"), F.ceil(F.try_divide(most - F.col("before") - F.col("size") / 2, F.col("size")))))
+    taken = F.transform("limits", lambda most: F.when(F.col("size") > 0, inside(most)).otherwise(0).cast("long"))
+    return placed.withColumn("taken", taken).drop("limits", "before", "pattern"), quotas
+
+
+def _decided(documents: DataFrame, seed: int) -> tuple[DataFrame, list[Quota]]:
+    """Units of ``documents`` (doc_id, row_key, source, size, rows, taken) and the quotas."""
+    sized = documents.select("doc_id", F.array("source").alias("sources"), F.xxhash64("text").alias("row_key"), word_count(F.col("text")).alias("size"))
+    units, quotas = mix(materialize(sized, "mix-sizes"), seed=seed)
+    return units.withColumn("source", F.col("sources")[0]).drop("sources"), quotas
 
 
 def mix_documents(documents: DataFrame, seed: int = 17) -> DataFrame:
-    """Mix ``documents`` by their ``source`` column: one row per document.
+    """Mix ``documents`` by their ``source`` column: one row per document row.
 
-    Adds size, source_size, target and copies.  Null source: a source of its
-    own, last in order.  Null or empty text: size 0, never taken.  Rows that
-    repeat a doc_id are documents of their own, told apart by a hash of their
-    text; equal rows share one fate.  An empty table gives an empty result.
+    Gives doc_id, source, row_key, size, source_size, target and copies.  Null
+    source: a source of its own, last in order.  Null or empty text: size 0,
+    never taken.  Rows that repeat a doc_id are documents of their own, told
+    apart by a hash of their text; equal rows are counted, and each of them has
+    its own copies.  An empty table gives an empty result.
     """
-    sized = materialize(
-        documents.select("doc_id", "source", F.xxhash64("text").alias("row_key"), word_count(F.col("text")).alias("size")),
-        "mix-sizes",
-    )
-    mixed, quotas = mix(sized.withColumn("sources", F.array("source")), seed=seed)
-    spark = documents.sparkSession
-    known = spark.createDataFrame([(q.source, q.size, q.target) for q in quotas], "q_source string, source_size long, target double")
-    joined = mixed.join(_small(known, len(quotas)), F.col("source").eqNullSafe(F.col("q_source")))
-    return joined.select("doc_id", "source", "row_key", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"))
+    units, quotas = _decided(documents, seed)
+    known = documents.sparkSession.createDataFrame([(q.source, q.size, q.target) for q in quotas], "q_source string, source_size long, target double")
+    joined = units.join(_small(known, len(quotas)), F.col("source").eqNullSafe(F.col("q_source")))
+    copies = F.aggregate("taken", F.lit(0).cast("long"), lambda n, rows: n + (F.col("at") < rows).cast("long"))
+    return _one_by_one(materialize(joined, "mix-units"), "rows").select("doc_id", "source", "row_key", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_texts(documents: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: each document as often as it is taken, same columns.
 
-    Texts are joined to the decisions by (doc_id, row key); equal rows are
-    decided once and each keeps its own copies.
+    Texts are joined to the decisions by (doc_id, row key, source).  Equal
+    rows are used alike; where their uses can't be shared out evenly, which
+    happens at the end of a flow only, the rest goes to the first of them by a
+    hash of all columns, once each.
     """
-    decided = mix_documents(documents, seed).filter("copies > 0").select(F.col("doc_id").cast("long").alias("mix_id"), F.col("row_key").alias("mix_key"), "copies", F.col("source").alias("mix_source")).distinct()
+    units = _decided(documents, seed)[0]
+    uses = F.aggregate("taken", F.lit(0).cast("long"), lambda n, rows: n + rows)
+    each = F.floor(uses / F.col("rows")).cast("long")
+    names = ["mix_id", "mix_key", "mix_source"]
+    shared = units.select(F.col("doc_id").cast("long").alias("mix_id"), F.col("row_key").alias("mix_key"), F.col("source").alias("mix_source"), each.alias("each"), (uses - each * F.col("rows")).alias("over"))
+    shared = materialize(shared.filter("each > 0 or over > 0"), "mix-decisions")
     rows = packed(documents, "source").withColumn("key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("key") == F.col("mix_key")) & F.col("source").eqNullSafe(F.col("mix_source"))
-    return unpacked(rows.join(decided, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+    out = unpacked(rows.join(shared.filter("each > 0").drop("over"), same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "each"))))
+    rest = shared.filter("over > 0").drop("each")
+    n_rest = rest.count()
+    if not n_rest:
+        return out
+    whole = F.xxhash64(F.to_json("row"))
+    kinds = rows.join(_small(rest, n_rest), same).groupBy(*names, "over", whole.alias("whole")).agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    before = Window.partitionBy(*names).orderBy("whole").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("over") - F.coalesce(F.sum("n").over(before), F.lit(0))
+    return out.unionByName(unpacked(_one_by_one(materialize(kinds.withColumn("extra", F.least("n", left)).filter("extra > 0"), "mix-rest"), "extra")))

@@ -1,7 +1,9 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from kinweave.llm import mixing
 
@@ -73,24 +75,42 @@ def test_taken_words_come_near_their_targets(spark, monkeypatch, cell_rows):
 
 
 def _texts(got, source):
-    """Texts as often as decided; equal rows share their decision."""
-    from collections import Counter
-
+    """Texts as often as decided."""
     n = Counter()
-    seen = {}
-    for r in got:
-        seen[r.doc_id, r.source, r.size] = r.copies
     for doc_id, text, src in source:
-        size = len((text or "").split())
-        n[text] += seen[doc_id, src, size]
-    return list(n.elements())
-
-
-def test_overlapping_sources_share_a_pattern(spark):
-    members = spark.createDataFrame([(i, i, 10, ["a", "b"] if i < 50 else ["a"]) for i in range(100)], "doc_id long, row_key long, size long, sources array<string>")
+        n[doc_id, src, len((text or "").split())] = text
+    return [n[r.doc_id, r.source, r.size] for r in got for _ in range(r.copies)]
+
+
+@pytest.mark.parametrize("chunk", [4, 4096])
+def test_equal_rows_are_used_as_decided(spark, monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", chunk)
+    text = prose(1, 10)
+    rows = [(i, prose(i, 100), "a") for i in range(10, 20)] + [(7, text, "b")] * 15 + [(None, text, None)] * 11
+    docs = documents(spark, rows)
+    # one text that differs in another column only
+    docs = docs.withColumn("n", docs.n + (spark_partition_id() % 2))
+    decided = mixing.mix_documents(docs).collect()
+    assert len(decided) == len(rows)
+    texts = Counter((r.doc_id, r.source) for r in mixing.mixed_texts(docs).collect())
+    wanted = Counter()
+    for r in decided:
+        assert 0 <= r.copies <= 2
+        wanted[r.doc_id, r.source] += r.copies
+    assert texts == +wanted
+    for source in ("a", "b", None):
+        own = [r for r in decided if r.source == source]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= max(r.size for r in own)
+
+
+def test_overlapping_sources_share_a_pattern(spark, monkeypatch):
+    members = spark.createDataFrame([(i, i, 10, ["a", "b"] if i < 50 else ["a"], "p", 3) for i in range(100)], "doc_id long, row_key long, size long, sources array<string>, pattern string, before int")
     out, quotas = mixing.mix(members, weights=(1, 1), total_share=1.0)
     assert [(q.source, q.size) for q in quotas] == [("a", 1000), ("b", 500)]
-    assert sum(r.size * r.copies for r in out.collect()) == 1000
+    assert sum(r.size * sum(r.taken) for r in out.collect()) == 1000
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix(members)
 
 
 def test_empty(spark):
