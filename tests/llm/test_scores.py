@@ -1,10 +1,12 @@
+import itertools
+import os
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from kinweave.llm import quality, toxicity
+from kinweave.llm import quality, toxicity, transducers
 
 from .helpers import documents, prose
 
@@ -148,3 +150,79 @@ def test_threats_need_a_target_or_an_intent(spark):
     lexicon = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     learned = toxicity.Grammar(lexicon)
     assert learned.accepted("we hurt you") > learned.accepted("we punch you") == 0
+
+
+def paths(machine, symbols):
+    """Every path of a machine over symbols: (weight, written), by enumeration."""
+    found = [(0.0, "", 0)]
+    for x in symbols:
+        found = [(w + a.weight, out + a.out, a.to) for w, out, state in found for a in machine.arcs(state, x)]
+    return [(w, out) for w, out, state in found if machine.is_final(state)]
+
+
+def in_turn(machines, symbols):
+    """Every path of machines that read what the one before wrote."""
+    found = [(0.0, symbols)]
+    for m in machines:
+        found = [(w + v, out) for w, written in found for v, out in paths(m, written)]
+    return found
+
+
+VOCABULARY = "you him yourself not said will go idiot kill the cat".split() + ['"']
+
+
+def test_composition_equals_machines_in_turn():
+    rng = random.Random(5)
+    machines = toxicity.cascade()
+    whole = transducers.compose(*machines)
+    assert all(len(m) > 1 for m in machines)
+    for _ in range(300):
+        symbols = "".join(rng.choice("otybnsqipavQU") for _ in range(rng.randint(0, 6)))
+        assert sorted(paths(whole, symbols)) == sorted(in_turn(machines, symbols))
+
+
+def test_clause_weight_equals_the_heaviest_of_all_paths():
+    rng = random.Random(6)
+    grammar = toxicity.Grammar(toxicity.Lexicon(words={"idiot": 4.0}))
+    for _ in range(400):
+        words = [rng.choice(VOCABULARY) for _ in range(rng.randint(1, 7))]
+        readings = [grammar.readings(w, grammar._classes[w]) for w in words]
+        best = (0.0, "")
+        for reading in itertools.product(*readings):
+            given = sum(w for _, w in reading)
+            best = max([best, *((given + w, out) for w, out in in_turn(toxicity.cascade(), "".join(x for x, _ in reading)))], key=lambda b: b[0])
+        assert grammar.accepted(" ".join(words)) == pytest.approx(best[0]), words
+
+
+def test_every_transducer_changes_decisions():
+    grammar = toxicity.Grammar(toxicity.Lexicon(words=dict.fromkeys(toxicity.INSULT, toxicity.SEED_WEIGHT)))
+    flagged = lambda text: grammar.score(text) >= toxicity.PREDICT_FROM
+    around = lambda text: f"{prose(1, 60)}. {text}. {prose(2, 60)}"
+    for plain, changed in (
+        ("you are an idiot", "you are not an idiot"),
+        ("you are an idiot", "she said you are an idiot"),
+        ("you are an idiot", 'he wrote: "you are an idiot"'),
+        ("you are an idiot", "the idiot"),
+        ("i will kill you", "i will kill time"),
+        ("i will kill you", "i will never kill you"),
+        ("kill yourself", 'he said "kill yourself"'),
+        ("hurt you", "hurt the"),
+        ("wait, idiot, you know", "wait, idiot, and one two three you"),
+    ):
+        assert flagged(around(plain)) and not flagged(around(changed)), (plain, changed)
+    assert not any(flagged(w) for w in toxicity.INSULT | toxicity.THREAT)
+
+
+def test_one_lone_word_never_rejects_whatever_labels_say():
+    for weight, y in ((np.full(50, 2.0), np.ones(50)), (np.array([2.0, 0.0] * 30), np.array([1.0, 0.0] * 30))):
+        centre, slope = toxicity.fitted_scale(weight, y, 3.0, 1.5)
+        assert 1 / (1 + np.exp(-slope * (toxicity.SEED_WEIGHT + toxicity.LONE - centre))) < toxicity.PREDICT_FROM
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_toxicity_on_the_larger_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score_documents(docs, toxicity.fit(docs, labels)).filter("held_out").join(labels, "doc_id").filter("toxic is not null")
+    rows = out.select("toxic", "predicted").collect()
+    assert sum(r.predicted for r in rows if r.toxic) >= 110
+    assert sum(r.predicted for r in rows if not r.toxic) <= 5
