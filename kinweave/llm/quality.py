@@ -4,9 +4,11 @@
    hash; a bucket's index vector is sparse, random and fixed.  Over all
    documents, each bucket adds up the index vectors of its tokens' neighbours;
    the sums, damped and scaled to length 1, are the word vectors.  What this
-   pass gathers is one table of fixed size, however large the corpus is.
-2. *Pooling.*  A document is the mean and the spread of its word vectors, and
-   a few shares: capitals, digits, signs, repeated neighbours, distinct words.
+   pass gathers is one table of fixed size, however large the corpus is; words
+   that share a bucket share a vector.
+2. *Pooling.*  A document is four means over its word vectors: the vectors,
+   their spread, and for neighbouring words the distance and the product of
+   their vectors, dimension by dimension.  Nothing else about a text is known.
 3. *Network.*  Two layers in numpy, trained on a bounded sample of labelled
    rows; a temperature fitted on a part kept from training calibrates it.
 """
@@ -24,43 +26,36 @@ from pyspark.sql import functions as F
 from kinweave.llm.batches import bound_batches
 from kinweave.llm.samples import held_out, training_texts
 
-BUCKETS, DIMS, NONZERO = 1 << 13, 32, 4
+BUCKETS, DIMS, NONZERO = 1 << 15, 32, 4
 #: Labelled rows that teach the network, at most.
 SAMPLE_ROWS = 6000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 64, 0.004, 1e-4
 PREDICT_FROM = 0.7
-N_SHARES = 8
-N_INPUTS = 2 * DIMS + N_SHARES
+N_INPUTS = 4 * DIMS
+#: Tokens whose vectors are looked up at a time.
+POOL_TOKENS = 1 << 17
 
 _RNG = np.random.Generator(np.random.PCG64(99))
 _PLACE = _RNG.integers(0, DIMS, (BUCKETS, NONZERO))
 _SIGN = _RNG.choice(np.array([-1.0, 1.0]), (BUCKETS, NONZERO))
 _TABLE = _RNG.integers(0, 1 << 64, (32, 256), np.uint64)
-_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)  # classes of bytes
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
 _CLASS[[*range(0x30, 0x3A)]] = _DIGIT
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
 
 
 @dataclass
 class Tokens:
-    """Tokens of a batch of texts: buckets, kinds and where each text ends."""
+    """Tokens of a batch of texts: their buckets, and where each text ends."""
 
     bucket: np.ndarray
-    kind: np.ndarray
-    capital: np.ndarray
     ends: np.ndarray
 
 
 def tokenize(texts: list[str | None]) -> Tokens:
-    """Runs of letters, of digits and of other signs; white space parts them.
-
-    Letters are hashed in lower case (A-Z); a token counts as capitals if it
-    has two letters at least and none is small.
-    """
+    """Runs of letters, of digits and of other signs; white space parts them."""
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
     kind = _CLASS[data]
@@ -68,21 +63,17 @@ def tokenize(texts: list[str | None]) -> Tokens:
     kinds = kind[edge]
     stops = np.append(edge[1:], len(data))
     real = kinds != _SPACE
-    begin, stop, kinds = edge[real], stops[real], kinds[real]
+    begin, stop = edge[real], stops[real]
     ends = np.searchsorted(begin, np.cumsum([len(r) + 1 for r in raws]))
     if not len(begin):
-        return Tokens(np.zeros(0, np.int64), kinds, np.zeros(0, bool), ends)
+        return Tokens(np.zeros(0, np.int64), ends)
     lengths = stop - begin
     at = np.flatnonzero(kind != _SPACE)
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(at)) - np.repeat(first, lengths)
-    value = np.add.reduceat(_TABLE[place & 31, _LOWER[data[at]]], first)
+    value = np.add.reduceat(_TABLE[place & 31, data[at]], first)
     value ^= value >> np.uint64(29)
-    # a small letter: a-z, or the second byte of a small Latin-1 letter
-    previous = np.concatenate([[0], data[:-1]])
-    small = ((data >= 0x61) & (data <= 0x7A)) | ((previous == 0xC3) & (data >= 0x9F) & (data <= 0xBF))
-    has_small = np.add.reduceat(small[at].astype(np.int32), first) > 0
-    return Tokens((value % np.uint64(BUCKETS)).astype(np.int64), kinds, (kinds == _LETTER) & ~has_small & (lengths > 1), ends)
+    return Tokens((value % np.uint64(BUCKETS)).astype(np.int64), ends)
 
 
 def _batches(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str | None]]:
@@ -127,7 +118,7 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
                 table += t
                 counts += c
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"bucket": used.astype(np.int32), "n": counts[used], "sums": [r.tobytes() for r in table[used]]})
+        yield pd.DataFrame({"bucket": used.astype(np.int32), "n": counts[used], "sums": [r.tobytes() for r in table[used].astype("<i4")]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, list] = {}
@@ -135,7 +126,7 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
             for bucket, n, raw in zip(rows["bucket"], rows["n"], rows["sums"], strict=True):
                 held = total.setdefault(bucket, [0, np.zeros(DIMS)])
                 held[0] += n
-                held[1] += np.frombuffer(raw)
+                held[1] += np.frombuffer(raw, "<i4")
         yield pd.DataFrame({"bucket": np.array(list(total), np.int32), "n": [int(v[0]) for v in total.values()], "sums": [v[1].tobytes() for v in total.values()]})
 
     schema = "bucket int, n long, sums binary"
@@ -148,28 +139,32 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """The network's inputs for each text; a text without tokens is all zeros."""
+    """The network's inputs for each text; a text without tokens is all zeros.
+
+    Vectors are summed some tokens at a time, so memory doesn't grow with the
+    length of a text.
+    """
     t = tokenize(texts)
-    begins = np.concatenate([[0], t.ends[:-1]])
-    counts = (t.ends - begins).astype(np.float64)
-    out = np.zeros((len(texts), N_INPUTS))
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    at, n = begins[full], counts[full][:, None]
-    v = vectors[t.bucket]
-    mean = np.add.reduceat(v, at, axis=0, dtype=np.float64) / n
-    spread = np.sqrt(np.maximum(0.0, np.add.reduceat(v * v, at, axis=0, dtype=np.float64) / n - mean**2))
-    again = np.zeros(len(t.bucket))
-    again[1:] = t.bucket[1:] == t.bucket[:-1]
-    again[at] = 0
-    share = lambda x: np.add.reduceat(x.astype(np.float64), at)[:, None] / n
-    owner = np.repeat(np.arange(len(full)), counts[full].astype(np.int64))
-    distinct = np.bincount(np.unique(owner * BUCKETS + t.bucket) // BUCKETS, minlength=len(full))[:, None]
-    out[full] = np.hstack(
-        [mean, spread, share(t.capital), share(t.kind == _DIGIT), share(t.kind == _OTHER), share(again), distinct / n, distinct / np.minimum(n, BUCKETS) ** 0.5 / 10, np.log1p(n) / 10, np.ones_like(n)]
-    )
-    return out
+    counts = np.diff(t.ends, prepend=0)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    total, square, apart, product = (np.zeros((len(texts), DIMS)) for _ in range(4))
+    for a in range(0, len(owner), POOL_TOKENS):
+        b = min(len(owner), a + POOL_TOKENS)
+        v = vectors[t.bucket[a:b]]
+        before = vectors[t.bucket[max(0, a - 1) : b - 1]] if a else np.concatenate([v[:1], v[:-1]])
+        first = np.ones(b - a, bool)  # tokens without a neighbour before them in their text
+        first[1:] = owner[a + 1 : b] != owner[a : b - 1]
+        first[0] = not a or owner[a - 1] != owner[a]
+        cuts = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
+        whose = owner[a:b][cuts]
+        gap, both = np.abs(v - before), v * before
+        gap[first], both[first] = 0, 0
+        for out, x in ((total, v), (square, v * v), (apart, gap), (product, both)):
+            out[whose] += np.add.reduceat(x, cuts, axis=0, dtype=np.float64)
+    n = np.maximum(1, counts)[:, None]
+    pairs = np.maximum(1, counts - 1)[:, None]
+    mean = total / n
+    return np.hstack([mean, np.sqrt(np.maximum(0.0, square / n - mean**2)), apart / pairs, product / pairs])
 
 
 @dataclass

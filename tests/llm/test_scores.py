@@ -226,3 +226,30 @@ def test_toxicity_on_the_larger_tables(spark):
     rows = out.select("toxic", "predicted").collect()
     assert sum(r.predicted for r in rows if r.toxic) >= 110
     assert sum(r.predicted for r in rows if not r.toxic) <= 5
+
+
+@pytest.mark.parametrize("tokens", [3, 1 << 17])
+def test_pooled_vectors_equal_a_loop(monkeypatch, tokens):
+    monkeypatch.setattr(quality, "POOL_TOKENS", tokens)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    texts = ["a b c d e f g", "", None, "one", "Two two", "x!! 12 -", " ", "a a a a"]
+    got = quality.pooled(texts, vectors)
+    assert got.shape == (len(texts), quality.N_INPUTS)
+    for text, row in zip(texts, got, strict=True):
+        v = vectors[quality.tokenize([text]).bucket].astype(float)
+        want = np.zeros((4, quality.DIMS))
+        if len(v):
+            want[0], want[1] = v.mean(0), v.std(0)
+        if len(v) > 1:
+            want[2] = np.mean([abs(x - y) for x, y in zip(v, v[1:], strict=False)], axis=0)
+            want[3] = np.mean([x * y for x, y in zip(v, v[1:], strict=False)], axis=0)
+        assert np.allclose(row, want.ravel(), atol=2e-3)  # a spread of zero is a root of rounding errors
+    assert len(quality.tokenize(["x!! 12 -"]).bucket) == 4
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_quality_on_the_larger_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality_scores(docs, labels).filter("held_out").join(labels, "doc_id").select("quality", "predicted").collect()
+    assert len(rows) > 900 and sum(r.quality != r.predicted for r in rows) <= 8
