@@ -12,9 +12,16 @@ distance must not exceed ``threshold * d/D * (1 + EPSILON/sqrt(d))**2``.  What
 survives all blocks is scored exactly, in double precision on the original
 vectors.
 
-Centroids and the number of probed lists are fitted on a bounded sample; every
-row is indexed.  Lists are split into chunks and queries into blocks, so one
-vector shared by a third of all rows makes more cells, not a larger one.
+Lists have two levels: the nearest centroid, and the nearest of a codebook of
+differences from it that all centroids share.  So the number of lists grows
+with the table and a list stays at about ``LIST_ROWS`` rows, while the index
+keeps a bounded size.  Centroids, codebook and the number of probed lists are
+fitted on a bounded sample; every row is indexed.
+
+A list is split into chunks of its rows and blocks of the queries that probe
+it, and rows go to the blocks of their own list only: what is shuffled is in
+proportion to rows and queries, and one vector shared by a third of all rows
+makes more cells, not a larger one.
 """
 
 from __future__ import annotations
@@ -38,8 +45,12 @@ SAMPLE_ROWS, SAMPLE_FLOATS = 20_000, 4_000_000
 SAMPLE_QUERIES = 256
 #: Share of the true neighbours that the probed lists must hold on the sample.
 SAMPLE_RECALL = 0.97
-MAX_LISTS = 4096
-CHUNK_ROWS, BLOCK_QUERIES = 2048, 2048
+MAX_LISTS, MAX_PARTS = 4096, 1024
+#: Rows of a list, as aimed at by the number of lists.
+LIST_ROWS = 1024
+CHUNK_ROWS, BLOCK_QUERIES = 256, 512
+#: Lists up to this many are broadcast with their chunks and blocks.
+BROADCAST_LISTS = 200_000
 BLOCK_DIMS = 16
 EPSILON = 2.1
 _SLACK = 1e-5
@@ -53,6 +64,7 @@ class Index:
     largest: float
     rotation: np.ndarray
     centroids: np.ndarray
+    parts: np.ndarray
     probes: int
 
     def unit(self, x: np.ndarray) -> np.ndarray:
@@ -65,6 +77,24 @@ class Index:
         unit = q / np.linalg.norm(q, axis=1, keepdims=True)
         return np.hstack([unit, np.zeros((len(q), 1))]) @ self.rotation
 
+    def lists(self, rot: np.ndarray) -> np.ndarray:
+        """The list of each row: number of the centroid, then of the part."""
+        own = _nearest(rot, self.centroids)
+        return own * len(self.parts) + _nearest(rot - self.centroids[own], self.parts)
+
+    def ranked(self, rot: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest ``probes`` lists of one query, nearest first, among those of as many centroids."""
+        far = ((rot - self.centroids) ** 2).sum(1)
+        near = np.argsort(far, kind="stable")[: min(probes, len(far))]
+        left = rot - self.centroids[near]
+        full = (left**2).sum(1)[:, None] - 2.0 * left @ self.parts.T + (self.parts**2).sum(1)
+        lists = (near[:, None] * len(self.parts) + np.arange(len(self.parts))).ravel()
+        return lists[np.lexsort((lists, full.ravel()))[:probes]]
+
+
+def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ centre.T - 0.5 * (centre * centre).sum(1), axis=1)
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows that take part: an id, and a vector with finite components, not all zero."""
@@ -77,7 +107,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray
     rng = np.random.Generator(np.random.PCG64(seed))
     centre = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = np.argmax(x @ centre.T - 0.5 * (centre * centre).sum(1), axis=1)
+        own = _nearest(x, centre)
         counts = np.bincount(own, minlength=k)
         sums = np.zeros_like(centre)
         np.add.at(sums, own, x)
@@ -87,7 +117,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray
 
 
 def fit(vectors: DataFrame, top: int = TOP) -> Index | None:
-    """Fit rotation, centroids and probes on a bounded sample; None without rows.
+    """Fit rotation, centroids, parts and probes on a bounded sample; None without rows.
 
     Vectors of another length than most have no inner product with them and
     take no part.
@@ -102,22 +132,26 @@ def fit(vectors: DataFrame, top: int = TOP) -> Index | None:
     rows = vectors.filter(F.size("embedding") == dim).orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(bound).select("embedding").collect()
     x = np.array([r["embedding"] for r in rows])
     lists = max(1, min(MAX_LISTS, int(math.sqrt(n)), len(x) // 16 or 1))
-    index = Index(dim, largest, rotation, np.zeros((1, dim + 1)), 1)
+    parts = min(MAX_PARTS, len(x) // 16 or 1, -(-n // (lists * LIST_ROWS)))
+    index = Index(dim, largest, rotation, np.zeros((1, dim + 1)), np.zeros((1, dim + 1)), 1)
     unit = index.unit(x)
     centre = _kmeans(unit, lists)
-    own = np.argmax(unit @ centre.T - 0.5 * (centre * centre).sum(1), axis=1)
+    left = unit - centre[_nearest(unit, centre)]
+    index = Index(dim, largest, rotation, centre, _kmeans(left, parts) if parts > 1 else np.zeros((1, dim + 1)), 1)
+    own = index.lists(unit)
     asked = x[:SAMPLE_QUERIES]
-    asked_unit = index.query(asked)
-    # where, in the order of lists by distance to the query, the true neighbours lie
-    near = np.argsort(-(asked_unit @ centre.T - 0.5 * (centre * centre).sum(1)), axis=1, kind="stable")
-    place = np.empty_like(near)
-    np.put_along_axis(place, near, np.broadcast_to(np.arange(lists), near.shape), axis=1)
     score = asked @ x.T
     score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
     best = np.argsort(-score, axis=1, kind="stable")[:, : min(top, len(x) - 1)]
-    seen = np.sort(np.take_along_axis(place, own[best], axis=1).ravel()) if best.size else np.zeros(1, int)
-    probes = int(seen[min(len(seen) - 1, math.ceil(SAMPLE_RECALL * len(seen)))]) + 1
-    return Index(dim, largest, rotation, centre, min(lists, probes))
+    # where, in the order of lists by distance to the query, the true neighbours lie
+    seen = []
+    for q, row in zip(index.query(asked), best, strict=True):
+        place = np.empty(lists * parts, np.int64)
+        place[index.ranked(q, lists * parts)] = np.arange(lists * parts)
+        seen += place[own[row]].tolist()
+    seen.sort()
+    probes = seen[min(len(seen) - 1, math.ceil(SAMPLE_RECALL * len(seen)))] + 1 if seen else 1
+    return Index(dim, largest, rotation, index.centroids, index.parts, probes)
 
 
 def scan(rot: np.ndarray, ids: np.ndarray, own: np.ndarray, q_rot: np.ndarray, q_ids: np.ndarray, q_own: np.ndarray, limit: np.ndarray, largest: float, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +190,6 @@ def scan(rot: np.ndarray, ids: np.ndarray, own: np.ndarray, q_rot: np.ndarray, q
     return qi[keep], ci[keep], score[keep]
 
 
-_ROW = "vec_id long, list int, chunk int, own binary, rot binary"
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -182,7 +215,6 @@ def search(vectors: DataFrame, is_query, top: int = TOP, index: Index | None = N
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("embedding") == index.dim)
-    half = 0.5 * (index.centroids**2).sum(1)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -190,34 +222,29 @@ def search(vectors: DataFrame, is_query, top: int = TOP, index: Index | None = N
                 p = part.iloc[a : a + 4096]
                 x = np.array(p["embedding"].tolist(), np.float64)
                 rot = index.unit(x)
-                yield pd.DataFrame({"vec_id": p["vec_id"].array, "list": np.argmax(rot @ index.centroids.T - half, axis=1).astype(np.int32), "own": [r.tobytes() for r in x], "rot": [r.tobytes() for r in rot]})
-
-    placed = materialize(rows.mapInPandas(place, "vec_id long, list int, own binary, rot binary"), "vectors")
-    sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    chunks = {i: -(-n // CHUNK_ROWS) for i, n in sizes.items()}
-    counted = spark.createDataFrame(list(chunks.items()) or [(0, 1)], "list int, chunks int")
-    asked = placed.filter(is_query).groupBy("vec_id").agg(F.min("own").alias("own"))
-    n_blocks = max(1, -(-placed.filter(is_query).count() // BLOCK_QUERIES))
-    block = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_blocks)).cast("int")
-    cells = placed.join(F.broadcast(counted), "list").withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "vec_id", "own"), F.col("chunks")).cast("int")).drop("chunks")
-    spread = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) if n_blocks > 1 else cells.withColumn("block", F.lit(0))
-
-    def probe(first: bool):
-        def lists_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = np.array(sorted(chunks))
-            for part in batches:
-                for a in range(0, len(part), 512):
-                    p = part.iloc[a : a + 512]
-                    q = _stack(p["own"])
-                    rot = index.query(q)
-                    near = known[np.argsort(-(rot @ index.centroids[known].T - half[known]), axis=1, kind="stable")[:, : index.probes]]
-                    near = near[:, :1] if first else near[:, 1:]
-                    at = [(i, n, c) for i in range(len(p)) for n in near[i].tolist() for c in range(chunks[n])]
-                    if at:
-                        take = [i for i, _, _ in at]
-                        yield pd.DataFrame({"query_id": p["vec_id"].iloc[take].array, "q_own": p["own"].iloc[take].array, "worst": p["worst"].iloc[take].array, "block": p["block"].iloc[take].array, "list": np.array([n for _, n, _ in at], np.int32), "chunk": np.array([c for _, _, c in at], np.int32)})
-
-        return lists_of
+                yield pd.DataFrame({"vec_id": p["vec_id"].array, "list": index.lists(rot), "own": [r.tobytes() for r in x], "rot": [r.tobytes() for r in rot]})
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for a in range(0, len(part), 512):
+                p = part.iloc[a : a + 512]
+                near = [index.ranked(q, index.probes) for q in index.query(_stack(p["own"]))]
+                yield pd.DataFrame({"query_id": np.repeat(p["vec_id"].to_numpy(), [len(x) for x in near]), "list": np.concatenate(near), "at": np.concatenate([np.arange(len(x), dtype=np.int32) for x in near])})
+
+    placed = materialize(rows.mapInPandas(place, "vec_id long, list long, own binary, rot binary"), "vectors")
+    asked = materialize(placed.filter(is_query).groupBy("vec_id").agg(F.min("own").alias("own")), "queries")
+    spots = materialize(asked.mapInPandas(probe, "query_id long, list long, at int"), "spots")
+    sizes = materialize(placed.groupBy("list").agg(F.count("*").alias("n")), "lists")
+    n_lists = sizes.count()
+    parts = lambda n, of: F.ceil(F.col(n) / of).cast("int")
+
+    def cells(wanted: DataFrame) -> DataFrame:
+        """Lists that have rows and are probed, with their chunks and blocks."""
+        found = wanted.groupBy("list").agg(F.count("*").alias("q")).join(sizes, "list").select("list", parts("n", CHUNK_ROWS).alias("chunks"), parts("q", BLOCK_QUERIES).alias("blocks"))
+        return F.broadcast(found) if n_lists <= BROADCAST_LISTS else found
+
+    deal = lambda seed, most, *of: F.pmod(F.xxhash64(F.lit(seed), *of), F.col(most)).cast("int")
+    each = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
 
     def scan_cell(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(candidates) or not len(queries):
@@ -230,15 +257,19 @@ def search(vectors: DataFrame, is_query, top: int = TOP, index: Index | None = N
         return pd.DataFrame({"query_id": q_ids[qi], "vec_id": ids[ci], "score": score})
 
     keys = ["list", "chunk", "block"]
-    target = "query_id long, q_own binary, worst double, block int, list int, chunk int"
-
-    def run(queries: DataFrame, first: bool) -> DataFrame:
-        spots = queries.select("vec_id", "own", "worst", block.alias("block")).mapInPandas(probe(first), target)
-        return spread.groupBy(*keys).cogroup(spots.groupBy(*keys)).applyInPandas(scan_cell, _FOUND)
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = materialize(run(asked.withColumn("worst", F.lit(None).cast("double")), True).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).drop("rank"), "nearest")
-    limits = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= top, F.col("low")).alias("worst"))
-    rest = run(asked.join(limits, "vec_id", "left"), False)
+    def run(wanted: DataFrame, limits: DataFrame) -> DataFrame:
+        plan = cells(wanted)
+        dealt = placed.join(plan, "list").withColumn("chunk", deal(2, "chunks", "vec_id", "own")).withColumn("block", each("blocks")).select(*keys, "vec_id", "own", "rot")
+        sent = wanted.join(plan, "list").withColumn("block", deal(1, "blocks", "query_id")).withColumn("chunk", each("chunks")).select("query_id", *keys)
+        sent = sent.join(limits, "query_id").select("query_id", *keys, "q_own", "worst")
+        return dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(scan_cell, _FOUND)
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a few rows of each cell
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("own").alias("q_own"))
+    near = run(spots.filter("at = 0"), queries.withColumn("worst", F.lit(None).cast("double")))
+    near = materialize(near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).drop("rank"), "nearest")
+    limits = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low")).select("query_id", F.when(F.col("n") >= top, F.col("low")).alias("worst"))
+    rest = run(spots.filter("at > 0"), queries.join(limits, "query_id", "left"))
     found = near.unionByName(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,8 +39,9 @@ def recall(found, want):
     return hits / sum(map(len, want.values()))
 
 
-@pytest.mark.parametrize("scale", [0.0, 1.0])
-def test_recall_and_scores(spark, scale):
+@pytest.mark.parametrize(("scale", "list_rows"), [(0.0, 1024), (1.0, 1024), (1.0, 10)])
+def test_recall_and_scores(spark, monkeypatch, scale, list_rows):
+    monkeypatch.setattr(nb, "LIST_ROWS", list_rows)  # small lists have two levels
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(8, 24))
     rows = [(i, (centres[i % 8] + rng.normal(size=24)) * np.exp(scale * rng.normal())) for i in range(1500)]
@@ -78,3 +81,16 @@ def test_one_vector_in_a_third_of_all_rows(spark, monkeypatch):
 def test_empty(spark):
     assert nb.search(table(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     assert nb.search(table(spark, [(20, [1.0, 2.0])]), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(1, [1, 0]), (1, [0, 1]), (20, [1, 0]), (20, [0.5, 0]), (3, [2, 0])]
+    found = got(nb.search(table(spark, rows), F.col("vec_id") % 20 == 0))
+    assert found == {20: [(3, 1.0), (1, 0.5), (1, 0.0)]}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_recall_on_the_larger_tables(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    want = brute([(r.vec_id, r.embedding) for r in vectors.collect()], 20)
+    assert recall(got(nb.search(vectors, F.col("vec_id") % 20 == 0)), want) >= 0.95
