@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from kinweave.llm.batches import bound_batches
 from kinweave.storage import materialize
@@ -53,6 +54,8 @@ CHUNK_ROWS, BLOCK_QUERIES = 256, 512
 BROADCAST_LISTS = 200_000
 BLOCK_DIMS = 16
 EPSILON = 2.1
+#: Once less than one candidate in this many is left, the others are no longer computed.
+FEW = 16
 _SLACK = 1e-5
 
 
@@ -159,26 +162,39 @@ def scan(rot: np.ndarray, ids: np.ndarray, own: np.ndarray, q_rot: np.ndarray, q
 
     ``limit`` holds each query's squared distance to beat, infinite if none is
     known; then the nearest by the first block, measured in full, set it.
+    While most candidates are left, a block is one product of matrices; once
+    few are, only those are looked at.
     """
     dims = rot.shape[1]
     first = min(BLOCK_DIMS, dims)
-    partial = (q_rot[:, :first] ** 2).sum(1)[:, None] + (rot[:, :first] ** 2).sum(1)[None, :] - 2.0 * q_rot[:, :first] @ rot[:, :first].T
-    partial[q_ids[:, None] == ids[None, :]] = np.inf
+    norms, q_norms = np.cumsum(rot**2, axis=1), np.cumsum(q_rot**2, axis=1)
+    dots = q_rot[:, :first] @ rot[:, :first].T
+    other = q_ids[:, None] != ids[None, :]
     if len(ids) > top and not np.isfinite(limit).all():
+        partial = np.where(other, norms[None, :, first - 1] - 2.0 * dots, np.inf)
         lead = np.argpartition(partial, top, axis=1)[:, : top + 1]
-        full = np.einsum("qkd->qk", (q_rot[:, None, :] - rot[lead]) ** 2) if lead.size * dims < 4_000_000 else np.stack([((q_rot[i] - rot[lead[i]]) ** 2).sum(1) for i in range(len(q_rot))])
-        full[~np.isfinite(np.take_along_axis(partial, lead, axis=1))] = np.inf
+        full = np.stack([((q_rot[i] - rot[lead[i]]) ** 2).sum(1) for i in range(len(q_rot))])
+        full[~np.take_along_axis(other, lead, axis=1)] = np.inf
         limit = np.minimum(limit, np.sort(full, axis=1)[:, top - 1])
     reach = lambda d: limit * (d / dims) * (1.0 + EPSILON / math.sqrt(d)) ** 2 + _SLACK if d < dims else limit + _SLACK
-    qi, ci = np.nonzero(np.isfinite(partial) & (partial <= reach(first)[:, None]))
-    seen = partial[qi, ci]
-    for a in range(first, dims, BLOCK_DIMS):
-        b = min(dims, a + BLOCK_DIMS)
+    d = first
+    while True:
+        left = (norms[None, :, d - 1] - 2.0 * dots <= (reach(d) - q_norms[:, d - 1])[:, None]) & other
+        if d == dims or np.count_nonzero(left) * FEW < left.size:
+            break
+        b = min(dims, d + BLOCK_DIMS)
+        dots += q_rot[:, d:b] @ rot[:, d:b].T
+        d = b
+    qi, ci = np.nonzero(left)
+    seen = q_norms[qi, d - 1] + norms[ci, d - 1] - 2.0 * dots[qi, ci]
+    while d < dims:
+        b = min(dims, d + BLOCK_DIMS)
         step = np.empty(len(qi))
         for c in range(0, len(qi), 1 << 16):
-            step[c : c + (1 << 16)] = ((q_rot[qi[c : c + (1 << 16)], a:b] - rot[ci[c : c + (1 << 16)], a:b]) ** 2).sum(1)
+            step[c : c + (1 << 16)] = ((q_rot[qi[c : c + (1 << 16)], d:b] - rot[ci[c : c + (1 << 16)], d:b]) ** 2).sum(1)
         seen = seen + step
-        keep = seen <= reach(b)[qi]
+        d = b
+        keep = seen <= reach(d)[qi]
         qi, ci, seen = qi[keep], ci[keep], seen[keep]
     score = np.empty(len(qi))
     for c in range(0, len(qi), 1 << 16):
@@ -193,8 +209,8 @@ def scan(rot: np.ndarray, ids: np.ndarray, own: np.ndarray, q_rot: np.ndarray, q
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def _stack(column: pd.Series, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1).astype(np.float64)
 
 
 def search(vectors: DataFrame, is_query, top: int = TOP, index: Index | None = None) -> DataFrame:
@@ -210,6 +226,8 @@ def search(vectors: DataFrame, is_query, top: int = TOP, index: Index | None = N
     """
     spark = vectors.sparkSession
     bound_batches(spark)
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
+    dtype = "<f4" if single else "<f8"  # what is sent; all is computed in double precision
     rows = usable(vectors)
     index = index or fit(rows, top)
     if index is None:
@@ -221,17 +239,16 @@ def search(vectors: DataFrame, is_query, top: int = TOP, index: Index | None = N
             for a in range(0, len(part), 4096):
                 p = part.iloc[a : a + 4096]
                 x = np.array(p["embedding"].tolist(), np.float64)
-                rot = index.unit(x)
-                yield pd.DataFrame({"vec_id": p["vec_id"].array, "list": index.lists(rot), "own": [r.tobytes() for r in x], "rot": [r.tobytes() for r in rot]})
+                yield pd.DataFrame({"vec_id": p["vec_id"].array, "list": index.lists(index.unit(x)), "own": [r.tobytes() for r in x.astype(dtype)]})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for a in range(0, len(part), 512):
                 p = part.iloc[a : a + 512]
-                near = [index.ranked(q, index.probes) for q in index.query(_stack(p["own"]))]
+                near = [index.ranked(q, index.probes) for q in index.query(_stack(p["own"], dtype))]
                 yield pd.DataFrame({"query_id": np.repeat(p["vec_id"].to_numpy(), [len(x) for x in near]), "list": np.concatenate(near), "at": np.concatenate([np.arange(len(x), dtype=np.int32) for x in near])})
 
-    placed = materialize(rows.mapInPandas(place, "vec_id long, list long, own binary, rot binary"), "vectors")
+    placed = materialize(rows.mapInPandas(place, "vec_id long, list long, own binary"), "vectors")
     asked = materialize(placed.filter(is_query).groupBy("vec_id").agg(F.min("own").alias("own")), "queries")
     spots = materialize(asked.mapInPandas(probe, "query_id long, list long, at int"), "spots")
     sizes = materialize(placed.groupBy("list").agg(F.count("*").alias("n")), "lists")
@@ -249,18 +266,18 @@ def search(vectors: DataFrame, is_query, top: int = TOP, index: Index | None = N
     def scan_cell(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(candidates) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q = _stack(queries["q_own"])
+        q, own = _stack(queries["q_own"], dtype), _stack(candidates["own"], dtype)
         worst = queries["worst"].to_numpy(np.float64, na_value=np.nan)
         limit = np.where(np.isnan(worst), np.inf, 2.0 - 2.0 * worst / (index.largest * np.linalg.norm(q, axis=1)))
         ids, q_ids = candidates["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        qi, ci, score = scan(_stack(candidates["rot"]), ids, _stack(candidates["own"]), index.query(q), q_ids, q, limit, index.largest, top)
+        qi, ci, score = scan(index.unit(own), ids, own, index.query(q), q_ids, q, limit, index.largest, top)
         return pd.DataFrame({"query_id": q_ids[qi], "vec_id": ids[ci], "score": score})
 
     keys = ["list", "chunk", "block"]
 
     def run(wanted: DataFrame, limits: DataFrame) -> DataFrame:
         plan = cells(wanted)
-        dealt = placed.join(plan, "list").withColumn("chunk", deal(2, "chunks", "vec_id", "own")).withColumn("block", each("blocks")).select(*keys, "vec_id", "own", "rot")
+        dealt = placed.join(plan, "list").withColumn("chunk", deal(2, "chunks", "vec_id", "own")).withColumn("block", each("blocks")).select(*keys, "vec_id", "own")
         sent = wanted.join(plan, "list").withColumn("block", deal(1, "blocks", "query_id")).withColumn("chunk", each("chunks")).select("query_id", *keys)
         sent = sent.join(limits, "query_id").select("query_id", *keys, "q_own", "worst")
         return dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(scan_cell, _FOUND)
