@@ -20,6 +20,7 @@ the base span is only a fragment of it, and the two overlap.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -32,12 +33,15 @@ from pyspark.sql import functions as F
 from kinweave.llm.batches import bound_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters around a possible disguise that the transducers see.
-MARGIN = 96
+#: Characters around a possible disguise that the transducers see, and up to how
+#: many more they see to reach white space.
+MARGIN, WIDEN = 96, 160
+#: Characters that are rewritten at a time where disguises stand close together.
+SEGMENT = 1 << 15
 #: Digits that a spelled-out number without a plus sign needs to be a phone;
 #: three of them must differ, as prose also repeats an article.
 SPELLED_PHONE = (9, 15)
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -225,41 +229,59 @@ def _leet(tape: Tape) -> None:
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Parts of the text that may hold a disguise, apart from each other."""
+    """Parts of the text that may hold a disguise, apart from each other.
+
+    They begin and end at white space, if there is some within ``WIDEN``
+    characters, so they cost what the hits cost, however the text is spaced.
+    """
     hits = [] if text.isascii() else [m.span() for m in _ODD.finditer(text)]
     hits += [m.span() for p in (_HINT, _SPELLED, _LEET_HINT) for m in p.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(hits):
+        if out and b + MARGIN <= out[-1][1]:
+            continue
         a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
-        if out and a <= out[-1][1]:
+        gap = next((i for i in range(a, max(0, a - WIDEN), -1) if text[i - 1].isspace()), max(0, a - WIDEN))
+        b = next((i for i in range(b, min(len(text), b + WIDEN)) if text[i].isspace()), min(len(text), b + WIDEN))
+        if out and gap <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            out.append((a, b))
+            out.append((gap, b))
     return out
 
 
+def _segments(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(begin, end, first, last): what is rewritten at a time, and where its spans may begin.
+
+    A long window is cut into segments that see ``MARGIN + WIDEN`` characters
+    of their neighbours; each span is found by the segment it begins in.
+    """
+    around = MARGIN + WIDEN
+    for a, b in _windows(text):
+        for first in range(a, b, SEGMENT):
+            last = min(b, first + SEGMENT)
+            yield max(a, first - around), min(b, last + around), first, last
+
+
 def disguised_spans(text: str) -> list[Span]:
     """Spans that only the rewritten text shows, in source characters."""
     found: list[Span] = []
-    for a, b in _windows(text):
-        while a and not text[a].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
+    for a, b, first, last in _segments(text):
         tape = Tape(text[a:b], a)
         _homoglyphs(tape)
         _leet(tape)
-        runs = _digits(tape)
-        for s, e in runs:
+        own: list[Span] = []
+        for s, e in _digits(tape):
             digits = tape.text[s:e].lstrip("+")
             if digits.isdigit() and not tape.text[s:e].startswith("+"):
                 if 13 <= len(digits) <= 19 and luhn(digits):
-                    found.append(("card", tape.start[s], tape.end[e - 1]))
+                    own.append(("card", tape.start[s], tape.end[e - 1]))
                 elif SPELLED_PHONE[0] <= len(digits) <= SPELLED_PHONE[1] and len(set(digits)) >= 3:
-                    found.append(("phone", tape.start[s], tape.end[e - 1]))
+                    own.append(("phone", tape.start[s], tape.end[e - 1]))
         _signs(tape)
         if tape.text != text[a:b]:
-            found += [(kind, tape.start[s], tape.end[e - 1]) for kind, s, e in base_spans(tape.text)]
+            own += [(kind, tape.start[s], tape.end[e - 1]) for kind, s, e in base_spans(tape.text)]
+        found += [x for x in own if first <= x[1] < last]
     return found
 
 
@@ -268,11 +290,15 @@ def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base = base_spans(text)
+    plain = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}  # ascending and apart
     added: list[Span] = []
+    until = dict.fromkeys(KINDS, 0)
     for kind, a, b in sorted(set(disguised_spans(text)), key=lambda s: (s[1], -s[2])):
-        inside = any(k == kind and x <= a and b <= y for k, x, y in base)
-        if not inside and all(b <= x or y <= a for k, x, y in added if k == kind):
+        at = bisect.bisect_right(plain[kind], (a, len(text) + 1)) - 1
+        inside = at >= 0 and b <= plain[kind][at][1]
+        if not inside and a >= until[kind]:
             added.append((kind, a, b))
+            until[kind] = b
     return base, added
 
 
@@ -296,7 +322,7 @@ def find_documents(documents: DataFrame) -> DataFrame:
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
                 base, added = find_spans(text)
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                out.append((None if pd.isna(doc_id) else int(doc_id), *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added), len(added)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]).astype({"doc_id": "Int64"})
+                out.append((None if pd.isna(doc_id) else int(doc_id), *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added), len(added), len(base) + len(added)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"]).astype({"doc_id": "Int64"})
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, RESULT)

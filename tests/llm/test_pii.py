@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -111,3 +112,19 @@ def test_prose_with_named_signs_is_left_alone(text):
 def test_named_signs_stay_linear():
     for text in ("a at " + "b-" * 20_000, "a@" + "b." * 20_000, "a at b dot " * 5_000):
         pii.find_spans(text)
+
+
+def test_texts_without_spaces_cost_what_their_length_costs():
+    for part in ("中文" * 20 + "jоhn＠exаmple。com" + "字" * 10, "a[at]b", "7o", "one two "):
+        began = time.perf_counter()
+        pii.find_spans(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - began < 5
+
+
+def test_segments_find_what_whole_windows_find(monkeypatch):
+    part = "中文" * 9 + "jоhn＠exаmple。com" + "字" * 11 + " call one two three four five six seven eight nine "
+    whole = pii.find_spans(part * 40)
+    assert len(whole[1]) == 80
+    for size in (1000, 1777):
+        monkeypatch.setattr(pii, "SEGMENT", size)
+        assert pii.find_spans(part * 40) == whole
