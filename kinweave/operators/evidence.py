@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import values
 from kinweave.functions.conditions import present
+from kinweave.operators.joins import dealt_pairs
 
 # The strong attributes of the second phase, first label wins.
 STRONG_KEYS = [("SUB_HKID", "EXACT_HKID"), ("SUB_PASSPORT", "EXACT_PASSPORT"), ("ATTR_EMAIL", "EXACT_EMAIL"), ("ATTR_DOB", "EXACT_DOB")]
@@ -21,10 +22,11 @@ PHASE_1 = "PHASE_1"
 
 
 def self_pairs(members: DataFrame, key: list[str], party: str = "party_id") -> DataFrame:
-    """All unordered pairs of parties that share a key: key columns, party_id_1, party_id_2."""
-    left = members.select(*key, F.col(party).alias("party_id_1"))
-    right = members.select(*key, F.col(party).alias("party_id_2"))
-    return left.join(right, key).filter("party_id_1 < party_id_2")
+    """All unordered pairs of parties that share a key: key columns, party_id_1, party_id_2.
+
+    The pairs of a hot key are dealt over tasks.
+    """
+    return dealt_pairs(members.select(*key, party), key, {party: "party_id_1"}, {party: "party_id_2"}).filter("party_id_1 < party_id_2")
 
 
 def pairs_within(clusters: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Each round reads the current edges from a table in the shared folder and
 writes the next, so lineage stays one round long and survives lost executors.
 A star step joins every edge with the smallest neighbour of its node; the side
-with the minima has one row per node, so a hub with a third of all edges is a
-plain skewed join that adaptive execution can split, never one group.
+with the minima has one row per node, and the edges of a hub, which may be a
+third of all, are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.joins import dealt_join
 from kinweave.storage import discard, materialize
 
 
@@ -22,15 +23,16 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     sym = _both_ways(edges)
-    low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return sym.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = sym.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    up = dealt_join(sym.filter("b > a"), low.select("a", F.least("a", "m").alias("m")), ["a"], low.select("a", "n"))
+    return up.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    linked = dealt_join(down, low.select("a", "m"), ["a"], low.select("a", "n")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 

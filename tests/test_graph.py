@@ -1,10 +1,11 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinweave.operators import clusters
+from kinweave.operators import clusters, joins
 from kinweave.operators.graph import connected_components
 
 AT, LATER = "2026-01-01", "2026-02-01"
@@ -101,3 +102,18 @@ def test_faults(spark):
     rows = spark.createDataFrame([("a", "1"), ("a", "2")], "party_id string, cluster_id string").withColumn("rec_start_date", when(AT)).withColumn("rec_end_date", F.lit(None).cast("timestamp"))
     got = {(r.party_id, r.fault) for r in clusters.clustering_faults(parties(spark, ["a", "b"]), rows).collect()}
     assert got == {("a", "several clusters"), ("b", "no cluster")}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_dealt_joins_equal_plain_ones(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    left = spark.createDataFrame([(i % 3 if i < 30 else i, i) for i in range(40)] + [(None, 99)], "k int, x int")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (33, "d")], "k int, y string")
+    assert sorted(joins.dealt_join(left, right, ["k"], how=how).collect(), key=str) == sorted(left.join(right, ["k"], how).collect(), key=str)
+
+
+def test_dealt_pairs_equal_a_self_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i % 2 if i < 20 else i, i) for i in range(25)] + [(1, 1)], "k int, x int")
+    plain = rows.withColumnRenamed("x", "a").join(rows.withColumnRenamed("x", "b"), "k")
+    assert sorted(joins.dealt_pairs(rows, ["k"], {"x": "a"}, {"x": "b"}).collect()) == sorted(plain.collect())
