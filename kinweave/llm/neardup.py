@@ -31,10 +31,13 @@ from kinweave.llm.batches import bound_batches
 from kinweave.llm.rows import packed, unpacked
 from kinweave.llm.shingles import common, mix64, shingle_sets
 from kinweave.operators.graph import connected_components
+from kinweave.operators.joins import dealt_join, dealt_pairs
 from kinweave.storage import discard, materialize
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
+#: Classes whose sets a task remembers to have written, so that rows that repeat id and text cost little.
+SEEN_SETS = 100_000
 #: A link: LIMIT[1] * shared >= LIMIT[0] * united.
 LIMIT = (75, 100)
 #: Share of equal minima below which a pair isn't confirmed on full sets: six
@@ -115,6 +118,8 @@ def _full_sets(documents: DataFrame, wanted: DataFrame, classes: DataFrame) -> D
                 reps = rows["rep"].iloc[at : at + len(sets)].tolist()
                 at += len(sets)
                 new = [(r, s) for r, s in zip(reps, sets, strict=True) if r not in seen and not seen.add(r)]
+                if len(seen) > SEEN_SETS:
+                    seen.clear()
                 yield pd.DataFrame({"rep": [r for r, _ in new], "members": [s.tobytes() for _, s in new]})
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("text"))
@@ -136,8 +141,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> DataF
                 keep.append(of * both >= need * (len(s) + len(t) - both))
             yield rows.loc[keep, ["a", "b"]]
 
-    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a")
-    return with_a.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b").mapInPandas(linked, "a long, b long")
+    sets_a, sets_b = sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b"))
+    n_a, n_b = (pairs.groupBy(end).agg(F.count("*").alias("n")) for end in "ab")
+    return dealt_join(dealt_join(pairs, sets_a, ["a"], n_a), sets_b, ["b"], n_b).mapInPandas(linked, "a long, b long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
@@ -145,7 +151,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     side = classes.select("rep", "n_shingles", "minima")
     left = side.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("minima").alias("m_a"))
     right = side.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("minima").alias("m_b"))
-    sized = pairs.join(left, "a").join(right, "b").filter(F.lit(LIMIT[1]) * F.least("n_a", "n_b") >= F.lit(LIMIT[0]) * F.greatest("n_a", "n_b"))
+    n_a, n_b = (pairs.groupBy(end).agg(F.count("*").alias("n")) for end in "ab")
+    sized = dealt_join(dealt_join(pairs, left, ["a"], n_a), right, ["b"], n_b).filter(F.lit(LIMIT[1]) * F.least("n_a", "n_b") >= F.lit(LIMIT[0]) * F.greatest("n_a", "n_b"))
     return sized.withColumn("p", _agreement("m_a", "m_b")).filter(F.col("p") >= floor).select("a", "b")
 
 
@@ -153,7 +160,7 @@ def _across(members: DataFrame, parts: DataFrame, small: int) -> tuple[DataFrame
     """Buckets with several components: (open members, pairs of small ones, classes of large ones)."""
     placed = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     state = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("n > 2 and p0 <> p1").select("key", "n")
-    open_ = placed.join(state, "key")
+    open_ = dealt_join(placed, state, ["key"], state)
     few = open_.filter(F.col("n") <= small)
     x, y = few.select("key", F.col("rep").alias("a"), F.col("part").alias("pa")), few.select("key", F.col("rep").alias("b"), F.col("part").alias("pb"))
     pairs = x.join(y, "key").filter("a > b and pa <> pb").select("a", "b").distinct()
@@ -174,13 +181,13 @@ def _prefix_pairs(many: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> D
     words = many.join(sets, "rep").select("rep", "part", F.explode(_as_longs("members")).alias("shingle"))
     rare = words.groupBy("shingle").agg(F.count("*").alias("df"))
     order = Window.partitionBy("rep").orderBy("df", "shingle")
-    ranked = words.join(rare, "shingle").withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("rep")))
+    ranked = dealt_join(words, rare, ["shingle"], rare.withColumnRenamed("df", "n")).withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("rep")))
     head = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * need / of) + 1).filter("df > 1")
-    left = head.select("shingle", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), (F.col("n") - F.col("at")).alias("ra"))
-    right = head.select("shingle", F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), (F.col("n") - F.col("at")).alias("rb"))
+    head = materialize(head.select("shingle", "rep", "part", "n", (F.col("n") - F.col("at")).alias("left")), "prefixes")
+    pairs = dealt_pairs(head, ["shingle"], {"rep": "a", "part": "pa", "n": "na", "left": "ra"}, {"rep": "b", "part": "pb", "n": "nb", "left": "rb"})
     enough = F.lit(need + of) * (1 + F.least("ra", "rb")) >= F.lit(need) * (F.col("na") + F.col("nb"))
     fits = (F.lit(of) * F.least("na", "nb") >= F.lit(need) * F.greatest("na", "nb")) & enough
-    return left.join(right, "shingle").filter((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & fits).select("a", "b").distinct()
+    return pairs.filter((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & fits).select("a", "b").distinct()
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -211,7 +218,7 @@ def near_duplicates(documents: DataFrame, limit: tuple[int, int] = LIMIT, small_
         classes = materialize(classes.join(shared, "first_id", "left").withColumn("rep", F.when(other, F.xxhash64("set_lo", "set_hi")).otherwise(F.col("rep"))).drop("own"), "classes")
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(keyed.join(hubs, "key").select("key", "rep", "hub"), "buckets")
+    members = materialize(dealt_join(keyed, hubs.select("key", "hub"), ["key"], hubs.select("key", "n")).select("key", "rep", "hub"), "buckets")
     stars = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     first = materialize(_likely(stars, classes, ESTIMATE_FLOOR), "pairs")
     sets = materialize(_full_sets(documents, first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).unionByName(_inner_members(members)), classes), "sets")
@@ -231,11 +238,16 @@ def near_duplicates(documents: DataFrame, limit: tuple[int, int] = LIMIT, small_
     if not unique:  # names of classes aren't ids
         winner = label.groupBy("component").agg(F.min(F.struct("first_id", "kept_key")).alias("w")).select("component", "w.*")
         label = label.drop("first_id", "kept_key").join(winner, "component").withColumn("component", F.col("first_id"))
-    out = known.join(label.select("set_lo", "set_hi", "component", "kept_key"), ["set_lo", "set_hi"], "left")
+    names = ["set_lo", "set_hi"]
+    found = label.select(*names, "component", "kept_key")
+    out = dealt_join(known.select("doc_id", "row_key", "n_shingles", *names), found, names, how="left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
     kept = ~linked | ((F.col("doc_id") == F.col("component")) & (F.col("row_key") == F.col("kept_key")))
-    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), kept.alias("kept"), "set_lo", "set_hi")
+    result = materialize(out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), kept.alias("kept"), *names), "neardup")
+    for table in (known, classes, shared, parts):
+        discard(table)
+    return result
 
 
 def _inner_members(members: DataFrame) -> DataFrame:
