@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import decontaminate, mixing, neardup, tokens, toxicity
 from kinweave.session import share_package
-from kinweave.storage import materialize
+from kinweave.storage import discard, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -63,6 +63,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents`` of ``sf_dir``; returns the last one's rows."""
     share_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done = None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if done is not None:  # what no later stage reads
+            discard(done)
+        done = docs
     return docs
