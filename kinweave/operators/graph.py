@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators import joins
 from kinweave.operators.joins import dealt_join
 from kinweave.storage import discard, materialize
 
@@ -20,26 +21,33 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, low: DataFrame, hot: bool) -> DataFrame:
+    """Edges with ``m`` of ``low`` (a, m, n) for their node a; edges of hubs are dealt over tasks."""
+    least = low.select("a", "m")
+    return dealt_join(edges, least, ["a"], low.select("a", "n")) if hot else edges.join(least, "a")
+
+
+def _large_star(edges: DataFrame, hot: bool) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     sym = _both_ways(edges)
-    low = sym.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    up = dealt_join(sym.filter("b > a"), low.select("a", F.least("a", "m").alias("m")), ["a"], low.select("a", "n"))
-    return up.select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = sym.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+    return _with_least(sym.filter("b > a"), low, hot).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot: bool) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    linked = dealt_join(down, low.select("a", "m"), ["a"], low.select("a", "n")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    linked = _with_least(down, low, hot).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether all edges form stars: a node has one parent, and no parent has one."""
+def _state(edges: DataFrame) -> tuple[bool, bool]:
+    """Whether all edges form stars (a node has one parent, and no parent has one), and whether there are hubs."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    row = nodes.agg(F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).alias("open"), F.max(F.col("up") + F.col("down")).alias("most")).first()
+    return not row["open"], (row["most"] or 0) > joins.HOT_ROWS
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -52,9 +60,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     start = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
     now = materialize(start.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(max_rounds):
-        if _settled(now):
+        settled, hot = _state(now)
+        if settled:
             break
-        after = materialize(_small_star(_large_star(now)), "edges")
+        after = materialize(_small_star(_large_star(now, hot), hot), "edges")
         discard(now)
         now = after
     else:

@@ -117,3 +117,10 @@ def test_dealt_pairs_equal_a_self_join(spark, monkeypatch):
     rows = spark.createDataFrame([(i % 2 if i < 20 else i, i) for i in range(25)] + [(1, 1)], "k int, x int")
     plain = rows.withColumnRenamed("x", "a").join(rows.withColumnRenamed("x", "b"), "k")
     assert sorted(joins.dealt_pairs(rows, ["k"], {"x": "a"}, {"x": "b"}).collect()) == sorted(plain.collect())
+
+
+def test_components_around_hubs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 4)
+    edges = [(100, i) for i in range(30)] + [(200, i) for i in range(29, 60)] + [(i, i + 1) for i in range(300, 320)]
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert found == {**dict.fromkeys([*range(60), 100, 200], 0), **dict.fromkeys(range(300, 321), 300)}
