@@ -16,22 +16,25 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.batches import bound_batches
 from kinweave.llm.rows import packed, unpacked
+from kinweave.storage import materialize
 
 #: Edits allowed, as a share of the item's characters.
 EDIT_SHARE = 0.06
-#: Pieces shorter than this would hit everywhere; fewer edits are allowed instead.
-LEAST_PIECE = 12
-#: Items shorter than this in normal form match as whole words only, without edits.
+#: Items shorter than this in normal form match as whole words only, without
+#: edits: an edit makes another short question of one.  0 gives all items edits.
 LEAST_ITEM = 24
 #: Characters of items that one pass over the documents searches for; a larger
-#: benchmark takes several passes, so what is broadcast never grows with it.
+#: benchmark takes several passes, one after another, so what is broadcast
+#: never grows with it.
 BLOCK_CHARS = 8_000_000
 RESULT = "doc_id long, row_key long, item_id long, distance int, budget int, start int, stop int"
 
@@ -49,9 +52,9 @@ def normal_form(text: str | None) -> str:
     return _APART.sub(" ", text.lower()).strip()
 
 
-def error_budget(item: str, share: float = EDIT_SHARE) -> int:
-    """Edits allowed for an item in normal form."""
-    return max(0, min(int(len(item) * share), len(item) // LEAST_PIECE - 1))
+def error_budget(item: str, share: float = EDIT_SHARE, least_item: int = LEAST_ITEM) -> int:
+    """Edits allowed for an item in normal form; fewer than it has characters."""
+    return max(0, min(int(len(item) * share), len(item) - 1)) if len(item) >= least_item else 0
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
@@ -101,11 +104,11 @@ def whole_words(text: str, start: int, stop: int) -> bool:
 class Matcher:
     """Finds a block of items in texts; items may share an id or have none."""
 
-    def __init__(self, items: list[tuple[int | None, str]], share: float):
+    def __init__(self, items: list[tuple[int | None, str]], share: float, least_item: int = LEAST_ITEM):
         import ahocorasick
 
-        self._ids = [i for i, _ in items]
-        self._items = {no: (text, error_budget(text, share) if len(text) >= LEAST_ITEM else 0) for no, (_, text) in enumerate(items)}
+        self._ids, self._least = [i for i, _ in items], least_item
+        self._items = {no: (text, error_budget(text, share, least_item)) for no, (_, text) in enumerate(items)}
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (text, budget) in self._items.items():
             for at, piece in pieces(text, budget):
@@ -125,7 +128,7 @@ class Matcher:
                 if item in best and best[item][0] == 0:
                     continue
                 start = end + 1 - size - at
-                if len(pattern) < LEAST_ITEM:
+                if len(pattern) < self._least:
                     if whole_words(text, start, start + size):
                         best[item] = (0, start, start + size)
                     continue
@@ -162,13 +165,13 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int |
         yield held
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, least_item: int = LEAST_ITEM, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Pairs of a document and a test item it holds, at most ``edit_share`` edits apart.
 
     Result: doc_id, row_key (hash of the text, tells rows of one doc_id
     apart), item_id, distance, budget, start and stop of the best passage in
     the document's normal form.  Null texts and items, and those without a letter
-    or digit, match nothing; items under ``LEAST_ITEM`` characters match as whole
+    or digit, match nothing; items under ``least_item`` characters match as whole
     words, without edits.  A null doc_id or item_id is carried through.  Repeated
     rows give repeated pairs; each text of a repeated item_id counts.  Other
     columns are ignored.
@@ -176,20 +179,30 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, edit_share: float =
     bound_batches(documents.sparkSession)
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("text"))
-    found: DataFrame | None = None
-    for items in _blocks(benchmark, block_chars):
+
+    def found_in(items: list[tuple[int | None, str]]) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast(items)
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, edit_share)
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matcher = Matcher(shared.value, edit_share, least_item)
             for rows in batches:
                 hits = [(i, k, *hit) for i, k, t in zip(rows["doc_id"], rows["row_key"], rows["text"], strict=True) if t for hit in matcher.find(normal_form(t))]
                 out = pd.DataFrame(hits, columns=["doc_id", "row_key", "item_id", "distance", "budget", "start", "stop"])
                 yield out.assign(item_id=pd.array([h[2] for h in hits], "Int64"))
 
-        part = texts.mapInPandas(search, RESULT)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], RESULT) if found is None else found
+        return texts.mapInPandas(search, RESULT), shared
+
+    parts: list[DataFrame] = []
+    blocks = _blocks(benchmark, block_chars)
+    items = next(blocks, None)
+    while items is not None:
+        part, shared = found_in(items)
+        items = next(blocks, None)
+        if parts or items is not None:  # of several blocks one is in memory at a time
+            part = materialize(part, "contaminated")
+            shared.destroy()
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RESULT)
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -50,10 +50,10 @@ def test_matches_equal_brute_force(spark):
     for doc_id, text in rows:
         for item_id, item in bench:
             p, t = d.normal_form(item), d.normal_form(text)
-            if item_id is None or len(p) < d.LEAST_ITEM or len(t) > 50_000 and p not in t:
+            if not p or len(t) > 50_000 and p not in t:
                 continue
             best = 0 if p in t else distance(p, t)
-            if best <= d.error_budget(p):
+            if best <= (int(len(p) * d.EDIT_SHARE) if len(p) >= 24 else 0) and (len(p) >= 24 or f" {p} " in f" {t} "):
                 want.add((doc_id, item_id, best))
     docs = documents(spark, rows)
     table = spark.createDataFrame(bench, "item_id long, text string")
@@ -83,3 +83,16 @@ def test_no_item_is_dropped_before_the_search(spark):
     for block in (d.BLOCK_CHARS, 10):
         assert sorted(((r.doc_id, r.item_id) for r in d.contaminated(docs, table, block_chars=block).collect())) == want
     assert sorted(r.doc_id for r in d.clean_documents(docs, table).collect()) == [6, 8]
+
+
+def test_every_length_has_its_share_of_edits(spark):
+    for length in range(1, 80):
+        item = prose(length, 60)[:length].strip()
+        budget = d.error_budget(item, 0.06, 0)
+        assert budget == min(int(len(item) * 0.06), len(item) - 1)
+        assert len(d.pieces(item, budget)) == budget + 1
+    item = prose(70, 3)[:18].strip()
+    docs = documents(spark, [(1, f"ab {item[:5]}q{item[6:]} cd"), (2, "nothing of it")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert d.contaminated(docs, bench).count() == 0
+    assert [(r.doc_id, r.distance) for r in d.contaminated(docs, bench, least_item=0).collect()] == [(1, 1)]
