@@ -107,21 +107,35 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+#: Where documents without an id stand: before all others.
+NO_ID = -(1 << 63)
+
+
 def _id_bounds(documents: DataFrame, ranges: int) -> list[int]:
-    """Doc ids that cut the table into about equal ranges; reads that column only."""
+    """Doc ids that cut the table into about equal ranges; reads that column only.
+
+    An id that holds several ranges' worth of rows is there several times.
+    """
     cuts = [i / ranges for i in range(1, ranges)]
     if not cuts:
         return []
-    found = documents.select(F.percentile_approx("doc_id", cuts, 20 * ranges).alias("b")).first()["b"]
-    return sorted(set(found or []))
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return sorted(documents.select(F.percentile_approx(known, cuts, 20 * ranges).alias("b")).first()["b"] or [])
+
+
+def _ranges_of(ids: np.ndarray, marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each document; those of a bound that is repeated are dealt over its ranges by ``marks``."""
+    low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    return np.where(high - low > 1, low + 1 + marks % np.maximum(1, high - low), high)
 
 
 def write_shards(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode whole texts and write them, in ascending doc_id order, as shards.
 
     Null text: no ids but the end id.  Null doc_id: first.  Rows that repeat a
-    doc_id are documents of their own, ordered by their ids.  Other columns
-    are ignored.  An empty table writes no shard.
+    doc_id are documents of their own, in an order that depends on their ids
+    only; a doc_id with many rows takes several ranges, dealt out by those ids.
+    Other columns are ignored.  An empty table writes no shard.
     """
     bound_batches(documents.sparkSession)
     spark = documents.sparkSession
@@ -132,10 +146,11 @@ def write_shards(documents: DataFrame, path: str, vocabulary: str = VOCABULARY,
         enc, cuts = encoder(vocabulary), np.array(bounds, np.int64)
         end = np.array([end_id], enc.dtype).tobytes()
         for rows in batches:
-            ids = rows["doc_id"]
-            at = np.searchsorted(cuts, ids.fillna(np.iinfo(np.int64).min).astype(np.int64).to_numpy(), side="right")
             for a in range(0, len(rows), 256):
-                yield pd.DataFrame({"range_no": at[a : a + 256].astype(np.int32), "doc_id": ids.iloc[a : a + 256], "ids": [enc.encode(t) + end for t in rows["text"].iloc[a : a + 256]]})
+                doc_ids = rows["doc_id"].iloc[a : a + 256]
+                ids = [enc.encode(t) + end for t in rows["text"].iloc[a : a + 256]]
+                at = _ranges_of(doc_ids.fillna(NO_ID).to_numpy(np.int64), np.array([zlib.crc32(x) for x in ids], np.int64), cuts)
+                yield pd.DataFrame({"range_no": at.astype(np.int32), "doc_id": doc_ids, "ids": ids})
 
     def sharded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dtype = encoder(vocabulary).dtype
@@ -160,7 +175,7 @@ def write_shards(documents: DataFrame, path: str, vocabulary: str = VOCABULARY,
             yield close()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(encoded, "range_no int, doc_id long, ids binary")
-    rows = rows.repartition(ranges, "range_no").sortWithinPartitions("range_no", "doc_id", "ids")
+    rows = rows.repartitionById(ranges, F.col("range_no")).sortWithinPartitions("range_no", "doc_id", "ids")
     rows.mapInPandas(sharded, "range_no int, shard_no int, n_docs int, n_tokens long, file binary").write.parquet(path)
 
 

@@ -2,14 +2,15 @@
 
 File layout (little endian)::
 
-    b"WVM1" | u32 header length | JSON header | sections
+    b"WVM2" | u32 header length | JSON header | sections
 
 The header names each section's offset and length.  Sections are zstd frames:
 ``doc_ids`` (int64), ``doc_null`` (bits), ``doc_len`` (uint32), ``alphabet``
-(uint32: the ids that occur, most frequent first), and for each bit-plane a
-rank directory (ones before each block, uint32) and its blocks of
-``BLOCK_BITS`` bits, one frame each, so that reading one token decompresses a
-block of each plane and not the whole shard.
+(uint32: the ids that occur, most frequent first).  Each bit-plane has its
+blocks of ``BLOCK_BITS`` bits, one small frame each, where each frame begins
+(uint32), and a rank directory: the ones before each block (uint32).  Reading
+one token thus decompresses one kilobyte of each plane, and a rank counts the
+bits of one block.
 
 Symbols are positions in the alphabet.  Plane 0 holds their highest bit in
 document order; each further plane holds the next bit in the order that puts
@@ -24,8 +25,10 @@ import struct
 import numpy as np
 import zstandard
 
-MAGIC = b"WVM1"
-BLOCK_BITS = 1 << 18
+MAGIC = b"WVM2"
+BLOCK_BITS = 1 << 13
+#: Blocks that a reader keeps unpacked.
+HELD_BLOCKS = 4096
 
 
 def _pack(raw: bytes) -> bytes:
@@ -52,16 +55,17 @@ def build(ids: np.ndarray, doc_ids: list[int | None], doc_len: np.ndarray) -> by
         ("alphabet", _pack(alphabet.astype("<u4").tobytes())),
     ]
     zeros = []
+    pack = zstandard.ZstdCompressor(level=1).compress
     for plane in range(bits):
         ones = (now & now.dtype.type(1 << (bits - 1 - plane))) != 0
         low = now.take(np.flatnonzero(~ones))
         zeros.append(len(low))
-        packed = np.packbits(ones)
-        before = [0]
-        for b in range(0, n, BLOCK_BITS):
-            before.append(before[-1] + int(np.count_nonzero(ones[b : b + BLOCK_BITS])))
-            sections.append((f"p{plane}.{b // BLOCK_BITS}", _pack(packed[b // 8 : (b + BLOCK_BITS) // 8].tobytes())))
-        sections.append((f"r{plane}", np.array(before, "<u4").tobytes()))
+        packed = np.packbits(ones).tobytes()
+        frames = [pack(packed[b : b + BLOCK_BITS // 8]) for b in range(0, len(packed), BLOCK_BITS // 8)]
+        inside = np.add.reduceat(ones, np.arange(0, n, BLOCK_BITS), dtype=np.int64) if n else np.zeros(0, np.int64)
+        sections.append((f"p{plane}", b"".join(frames)))
+        sections.append((f"o{plane}", np.cumsum([0, *map(len, frames)]).astype("<u4").tobytes()))
+        sections.append((f"r{plane}", np.cumsum([0, *inside]).astype("<u4").tobytes()))
         now = np.concatenate([low, now.take(np.flatnonzero(ones))])
     at, where = 0, {}
     for name, raw in sections:
@@ -84,6 +88,8 @@ class Shard:
         self._zeros = self._head["zeros"]
         self._blocks: dict[tuple[int, int], np.ndarray] = {}
         self._rank: dict[int, np.ndarray] = {}
+        self._starts: dict[int, np.ndarray] = {}
+        self._inflate = zstandard.ZstdDecompressor().decompress
         self._symbols: dict[int, int] | None = None
 
     def _section(self, name: str) -> bytes:
@@ -99,11 +105,22 @@ class Shard:
     def alphabet(self) -> np.ndarray:
         return np.frombuffer(_unpack(self._section("alphabet")), "<u4")
 
+    def _frame(self, plane: int, block: int) -> bytes:
+        if plane not in self._starts:
+            self._starts[plane] = np.frombuffer(self._section(f"o{plane}"), "<u4")
+        begin = self._head["at"][f"p{plane}"][0]
+        a, b = self._starts[plane][block : block + 2].tolist()
+        return self._inflate(self._body[begin + a : begin + b])
+
     def _block(self, plane: int, block: int) -> np.ndarray:
-        if (plane, block) not in self._blocks:
+        found = self._blocks.get((plane, block))
+        if found is None:
             count = min(BLOCK_BITS, self.n_tokens - block * BLOCK_BITS)
-            self._blocks[plane, block] = np.unpackbits(np.frombuffer(_unpack(self._section(f"p{plane}.{block}")), np.uint8), count=count)
-        return self._blocks[plane, block]
+            found = np.unpackbits(np.frombuffer(self._frame(plane, block), np.uint8), count=count)
+            if len(self._blocks) >= HELD_BLOCKS:
+                self._blocks.clear()
+            self._blocks[plane, block] = found
+        return found
 
     def _ones(self, plane: int, i: int) -> int:
         """Ones of a plane before position i."""
@@ -172,7 +189,7 @@ class Shard:
         n = self.n_tokens
         now = np.zeros(n, np.uint16 if self.bits <= 16 else np.uint32)
         for plane in reversed(range(self.bits)):
-            raw = b"".join(_unpack(self._section(f"p{plane}.{b}")) for b in range(-(-n // BLOCK_BITS)))
+            raw = b"".join(self._frame(plane, b) for b in range(-(-n // BLOCK_BITS)))
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=n).view(bool)
             up = np.empty_like(now)
             up[np.flatnonzero(~ones)] = now[: self._zeros[plane]]

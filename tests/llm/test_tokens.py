@@ -69,3 +69,24 @@ def test_wavelet_matrix_access_count_find():
         assert shard.count(50_256) == 0 and shard.find(50_256, 0) == -1 and shard.find(int(ids[0]), n) == -1
     empty = Shard(build(np.zeros(0, "<u2"), [], np.zeros(0, np.int64)))
     assert len(empty.decode()) == 0 and empty.count(3) == 0
+
+
+def test_access_reads_one_block_of_each_plane():
+    ids = np.random.default_rng(1).integers(0, 3000, 200_000).astype("<u2")
+    shard = Shard(build(ids, [1], np.array([len(ids)])))
+    assert shard.access(123_456) == ids[123_456]
+    assert len(shard._blocks) == shard.bits
+    assert sum(len(b) for b in shard._blocks.values()) <= shard.bits * 8192
+
+
+def test_an_id_with_many_rows_takes_several_ranges(spark, tmp_path):
+    rows = [(5 if i % 3 else i, prose(i, 20 + i % 7)) for i in range(300)] + [(None, prose(i, 9)) for i in range(200)]
+    path = f"file://{tmp_path}/shards"
+    tokens.write_shards(documents(spark, rows), path)
+    got = tokens.read_shards(spark, path).orderBy("start").collect()
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == sorted((d or -1, n, c) for d, _, n, c in expected(rows))
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((r.doc_id is not None, r.doc_id or 0) for r in got)
+    assert len({r.range_no for r in got if r.doc_id == 5}) > 1
+    again = tokens.write_shards(documents(spark, rows[::-1]), path + "2") or tokens.read_shards(spark, path + "2").orderBy("start").collect()
+    assert [r.ids_crc32 for r in again] == [r.ids_crc32 for r in got]
