@@ -2,7 +2,7 @@
 
 A conversation is cut into windows of at most ``budget`` tokens.  Prefix sums
 of the turns' token counts choose spans that begin and end at turns: a window
-holds the system turn, whole turns of history that fit ``history`` tokens, and
+holds the latest system turn before it, whole turns of history that fit ``history`` tokens, and
 as many new turns as fit the rest.  Only assistant texts among the new turns
 are under the loss mask, so each is learned once however often it is repeated
 as history.  A turn that is larger than the budget by itself is never cut; its
@@ -112,7 +112,7 @@ class _Conversation:
         tokens = sum(t.tokens for t in head) + self._prefix[-1]
         out = (self.conv_id, self._windows, "".join(parts), new_from, loss, len(self._new), tokens, tokens > self._budget)
         for t in self._new:
-            if self._system is None and self._windows == 0 and t is self._new[0] and t.role == "system":
+            if t.role == "system":  # the latest holds for all later windows
                 self._system = t
                 continue
             self._recent.append(t)

@@ -70,3 +70,17 @@ def test_escapes_are_reversed(text):
     assert chat._role_in(chat._role_out(text)) == text
     written = f"{chat.START}{chat._role_out(text)}\n{chat.escape(text)}{chat.END}"
     assert chat.parse_window(written * 2, len(written)) == [(text, text)]
+
+
+def test_the_latest_system_turn_is_retained(spark, tmp_path):
+    rows = [(1, 0, "user", prose(1, 40)), (1, 1, "system", "first rule"), (1, 2, "user", prose(2, 40)), (1, 3, "assistant", prose(3, 40)), (1, 4, "system", "second rule"), (1, 5, "user", prose(4, 40)), (1, 6, "assistant", prose(5, 40))]
+    path = f"file://{tmp_path}/windows"
+    chat.write_windows(table(spark, rows), path, budget=200, history=0)
+    windows = [(w.text[: w.new_from], w.text[w.new_from :]) for w in sorted(spark.read.parquet(path).collect(), key=lambda w: w.window_no)]
+    said = ""
+    for head, new in windows:
+        rules = [r for r in ("first rule", "second rule") if r in said]
+        assert head == (f"<|im_start|>system\n{rules[-1]}<|im_end|>\n" if rules else "")
+        said += new
+    assert len(windows) > 4
+    assert got(chat.formatted(table(spark, rows), budget=200, history=0)) == expected(rows)
