@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import values
 from kinweave.operators.clusters import components
-from kinweave.operators.evidence import self_pairs
+from kinweave.operators.evidence import self_pairs, union_pairs
+from kinweave.operators.joins import dealt_pairs
 from kinweave.operators.scoring import decide, pair_summary
 from kinweave.profiles import Profile
+from kinweave.sources.tables import current
+from kinweave.storage import materialize
 
 MERGES = ("MUST_MERGE", "MERGE")
 
@@ -18,10 +21,11 @@ def numbered_entities(members: DataFrame) -> DataFrame:
     """(party_id, component) to (party_id, master_entity_id).
 
     Entities are numbered ``ENTITY_0001`` on in the order of their smallest
-    party.  Components are ranked inside ranges of their names, and a range
-    starts after the sum of those before it, so no task orders all of them.
+    party.  Components are dealt over ranges of about equal size; each is
+    ranked inside its range, which starts after the sum of those before it, so
+    no task orders all of them.
     """
-    names = members.select("component").distinct().withColumn("_range", F.substring("component", 1, 24))
+    names = materialize(members.select("component").distinct().repartitionByRange("component").withColumn("_range", F.spark_partition_id()), "components")
     sizes = names.groupBy("_range").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_range").orderBy("component"))
@@ -45,14 +49,42 @@ def entity_pairs(entities: DataFrame) -> DataFrame:
     return self_pairs(entities, ["master_entity_id"])
 
 
-def _evidence_counts(pairs: DataFrame, matches: DataFrame, differences: DataFrame) -> DataFrame:
+def inside(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """The pairs whose two parties are in one entity, with its master_entity_id."""
+    key = "master_entity_id"
+    one = entities.select(F.col("party_id").alias("party_id_1"), key)
+    two = entities.select(F.col("party_id").alias("party_id_2"), F.col(key).alias("_other"))
+    return pairs.join(one, "party_id_1").join(two, "party_id_2").filter(F.col(key) == F.col("_other")).drop("_other")
+
+
+def _evidence_counts(matches: DataFrame, differences: DataFrame) -> DataFrame:
+    """Per canonical pair with evidence: matches m and differences d."""
     ends = ["party_id_1", "party_id_2"]
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
         a, b = values.pair(F.col("party_id_1"), F.col("party_id_2"))
         return rows.groupBy(a.alias("party_id_1"), b.alias("party_id_2")).agg(F.count("*").alias(name))
 
-    return pairs.join(counted(matches, "m"), ends, "left").join(counted(differences, "d"), ends, "left").na.fill(0, ["m", "d"])
+    return counted(matches, "m").join(counted(differences, "d"), ends, "full").na.fill(0, ["m", "d"])
+
+
+def pair_scores(entities: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Per entity: mean, lowest and highest share of equal values over its pairs that share an attribute.
+
+    Parties of an entity with the same values are one row with a count, so
+    only different sets of values are compared, and an entity of many like
+    parties costs little.
+    """
+    key = "master_entity_id"
+    given = attributes.join(entities, "party_id").groupBy(key, "party_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("subtype", "value")))).alias("has"))
+    kinds = given.groupBy(key, F.to_json("has").alias("kind")).agg(F.first("has").alias("has"), F.count("*").alias("n"))
+    alike = kinds.filter("n > 1").select(key, F.lit(1.0).alias("s"), (F.col("n") * (F.col("n") - 1) / 2).alias("w"))
+    rows = kinds.select(key, "kind", F.map_keys("has").alias("keys"), F.map_entries("has").alias("entries"), "n")
+    side = lambda i: {"kind": f"kind_{i}", "keys": f"keys_{i}", "entries": f"entries_{i}", "n": f"n_{i}"}
+    pairs = dealt_pairs(rows, [key], side(1), side(2)).filter("kind_1 < kind_2")
+    shared, equal = F.size(F.array_intersect("keys_1", "keys_2")), F.size(F.array_intersect("entries_1", "entries_2"))
+    apart = pairs.withColumn("_shared", shared).filter("_shared > 0").select(key, (equal / F.col("_shared")).alias("s"), (F.col("n_1") * F.col("n_2")).cast("double").alias("w"))
+    return alike.unionByName(apart).groupBy(key).agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("avg_s"), F.min("s").alias("min_s"), F.max("s").alias("max_s"))
 
 
 def master_entities(entities: DataFrame, attributes: DataFrame, instances: DataFrame, matches: DataFrame, differences: DataFrame, at: Column) -> DataFrame:
@@ -68,13 +100,8 @@ def master_entities(entities: DataFrame, attributes: DataFrame, instances: DataF
     seen = owned.groupBy(key).agg(F.count_distinct("attribute_subtype_id").alias("unique_attributes"), F.count("*").alias("total_attribute_instances"))
     agree = attributes.join(entities, "party_id").groupBy(key, "subtype").agg(F.count_distinct("value").alias("v"))
     agree = agree.groupBy(key).agg(F.count_if(F.col("v") == 1).alias("fully"), F.count_if(F.col("v") > 1).alias("against"))
-    pairs = entity_pairs(entities)
-    a = attributes.select(F.col("party_id").alias("party_id_1"), "subtype", F.col("value").alias("v1"))
-    b = attributes.select(F.col("party_id").alias("party_id_2"), "subtype", F.col("value").alias("v2"))
-    shared = pairs.join(a, "party_id_1").join(b, ["party_id_2", "subtype"])
-    per_pair = shared.groupBy(key, "party_id_1", "party_id_2").agg((F.count_if(F.col("v1") == F.col("v2")) / F.count("*")).alias("s"))
-    scores = per_pair.groupBy(key).agg(F.avg("s").alias("avg_s"), F.min("s").alias("min_s"), F.max("s").alias("max_s"))
-    told = _evidence_counts(pairs, matches, differences).withColumn("r", F.when(F.col("m") + F.col("d") > 0, F.col("m") / (F.col("m") + F.col("d"))))
+    scores = pair_scores(entities, attributes)
+    told = inside(_evidence_counts(matches, differences), entities).withColumn("r", F.when(F.col("m") + F.col("d") > 0, F.col("m") / (F.col("m") + F.col("d"))))
     told = told.groupBy(key).agg(F.sum("m").alias("total_m"), F.sum("d").alias("total_d"), F.avg("r").alias("avg_r"))
     joined = size.join(seen, key, "left").join(agree, key, "left").join(scores, key, "left").join(told, key, "left")
     n, many = F.col("party_count"), F.col("party_count") > 1
@@ -103,12 +130,14 @@ def master_entities(entities: DataFrame, attributes: DataFrame, instances: DataF
 def entity_links(entities: DataFrame, matches: DataFrame, differences: DataFrame, relationships: DataFrame, metadata_relationship: DataFrame, rules: DataFrame, profile: Profile, at: Column) -> DataFrame:
     """PARTY_TO_ENTITY_LINK: what joins each party to its entity.
 
-    Every pair of peers is scored once, also those without evidence, and
-    counted for both of its parties.  The decision is the strongest among
-    peers (MUST_MERGE, REVIEW_REQUIRED, MERGE), the tier the weakest.
+    Every pair of peers counts for both of its parties.  Only pairs with
+    evidence or a relationship are scored; all others of an entity score 0 and
+    enter the mean by their number.  The decision is the strongest among peers
+    (MUST_MERGE, REVIEW_REQUIRED, MERGE), the tier the weakest.
     """
     key = "master_entity_id"
-    pairs = entity_pairs(entities)
+    known = union_pairs(matches.select("party_id_1", "party_id_2"), differences.select("party_id_1", "party_id_2"), current(relationships).select("from_party_id", "to_party_id"))
+    pairs = inside(known, entities)
     summary = pair_summary(pairs, matches, differences, relationships, metadata_relationship, rules)
     scored = decide(summary, rules, profile)
     each = scored.select(key, F.explode(F.array("party_id_1", "party_id_2")).alias("party_id"), "decision", "score", "confidence_tier", "num_matches", "num_differences", "num_hard_blocks")
@@ -119,14 +148,25 @@ def entity_links(entities: DataFrame, matches: DataFrame, differences: DataFrame
         has("REVIEW_REQUIRED").alias("review"),
         has("MERGE").alias("merge"),
         F.min(tier).alias("tier"),
-        F.avg("score").alias("avg_score"),
-        F.max("score").alias("best_score"),
+        F.sum("score").alias("scores"),
+        F.max("score").alias("best"),
+        F.count("*").alias("scored"),
         F.sum("num_matches").alias("m"),
         F.sum("num_differences").alias("d"),
         F.sum("num_hard_blocks").alias("h"),
     )
-    joined = entities.join(per_party, [key, "party_id"], "left")
-    alone = F.col("avg_score").isNull()
+    peers = entities.groupBy(key).agg((F.count("*") - 1).alias("peers"))
+    joined = entities.join(peers, key).join(per_party, [key, "party_id"], "left")
+    alone = F.col("peers") == 0
+    silent = F.col("peers") > F.coalesce("scored", F.lit(0))  # peers without a score of their own, which is 0
+    merged = F.coalesce("merge", F.lit(False)) | (silent & F.lit(profile.merge_threshold <= 0))
+    joined = joined.withColumns({
+        "must": F.coalesce("must", F.lit(False)),
+        "review": F.coalesce("review", F.lit(False)),
+        "merge": merged,
+        "avg_score": F.when(~alone, F.coalesce("scores", F.lit(0.0)) / F.col("peers")),
+        "best_score": F.when(~alone, F.when(silent, F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("best"))),
+    })
     pick = lambda single, must, review, merge, other: F.when(alone, single).when(F.col("must"), must).when(F.col("review"), review).when(F.col("merge"), merge).otherwise(other)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     total = F.col("m") + F.col("d")

@@ -10,8 +10,8 @@ from kinweave.operators.evidence import union_pairs
 from kinweave.profiles import Profile
 from kinweave.sources.tables import current
 
-# What a soft relationship's confidence counts in the score, and
-# the scores of hard links by tier.
+# What a soft relationship's confidence counts in the score, the
+# scores of hard links by tier, and below, in ``decide``, the texts of reasons.
 RELATIONSHIP_WEIGHT = 0.3
 HIGH_SCORE, MEDIUM_SCORE, LOW_SCORE = 1.0, 0.85, 0.5
 

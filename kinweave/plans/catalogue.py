@@ -561,9 +561,9 @@ def _(m: Model) -> DataFrame:
     return views.edge_labels(rows).select("party_id_1", "party_id_2", "match_percent")
 
 
-@_register("ui_graph_edges", O.with_(f"{O.links()}, {O.CONFLICTS}, vis AS (SELECT {O.P} AS party FROM customer WHERE c_custkey % 2 = 0 OR c_nationkey < 12)", "SELECT * FROM (SELECT a AS source, b AS target, 'evidence' AS edge_type FROM ms UNION ALL SELECT a, b, 'blocking' FROM conf UNION ALL SELECT DISTINCT p, q, 'relationship' FROM rel) WHERE source IN (SELECT party FROM vis) AND target IN (SELECT party FROM vis)", True))
+@_register("ui_graph_edges", O.with_(f"{O.links()}, {O.CONFLICTS}, vis AS (SELECT {O.P} AS party FROM customer)", "SELECT * FROM (SELECT a AS source, b AS target, 'evidence' AS edge_type FROM ms UNION ALL SELECT a, b, 'blocking' FROM conf UNION ALL SELECT DISTINCT p, q, 'relationship' FROM rel) WHERE source IN (SELECT party FROM vis) AND target IN (SELECT party FROM vis)", True))
 def _(m: Model) -> DataFrame:
-    visible = m.table("customer").filter("c_custkey % 2 = 0 or c_nationkey < 12").select(F.concat(F.lit("SP_Sales_customer_"), F.col("c_custkey").cast("string")).alias("party_id"))
+    visible = m.table("customer").select(F.concat(F.lit("SP_Sales_customer_"), F.col("c_custkey").cast("string")).alias("party_id"))
     t = m.tables
     return views.graph_edges(t["match_evidence"], t["match_blocking"], t["relationship"], visible)
 

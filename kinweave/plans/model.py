@@ -37,7 +37,7 @@ EVIDENCE_RULES = [
     ("ATTR_GENDER", 0.05, 0.3, None, None, True, 4),
     ("ATTR_ADDRESS", 0.15, 0.2, None, None, True, 3),
 ]
-#: Blocking rules of the optional conflict stage: name, subtype, priority.
+# Blocking rules of the optional conflict stage (name, reason, subtype, priority).
 BLOCKING_RULES = [("RULE_GENDER_CONFLICT", "GENDER_CONFLICT_WITH_SAME_NAME", "SUB_GENDER", 8), ("RULE_PHONE", "DIFFERENT_PHONE_BLOCKS_MATCH", "ATTR_PHONE", 5)]
 
 #: How attribute values derive from a customer row, as SQL that Spark and the oracle share.
@@ -156,10 +156,10 @@ class Model:
 
     @property
     def relationships(self) -> DataFrame:
-        """Customers with neighbouring keys: a soft link from even keys, a guarantee every tenth."""
+        """Customers with neighbouring keys: a soft link, and a guarantee from every tenth."""
         c = self.table("customer").select("c_custkey")
         party = lambda k: F.concat(F.lit("SP_Sales_customer_"), k.cast("string"))
-        rows = c.join(c.select((F.col("c_custkey") - 1).alias("c_custkey")), "c_custkey").filter("c_custkey % 2 = 0")
+        rows = c.join(c.select((F.col("c_custkey") - 1).alias("c_custkey")), "c_custkey")
         a, b = party(F.col("c_custkey")), party(F.col("c_custkey") + 1)
         rule = F.when(F.col("c_custkey") % 10 == 0, "REL_SAME_BALANCE").otherwise("REL_NEXT_KEY")
         return rows.select(F.concat_ws("_", F.lit("REL_FK"), a, b).alias("party_relationship_id"), rule.alias("metadata_relationship_id"), F.lit(None).cast("string").alias("metadata_party_type_relationship_id"), a.alias("from_party_id"), b.alias("to_party_id"), F.col("c_custkey").cast("string").alias("from_matching_value"), F.col("c_custkey").cast("string").alias("to_matching_value"), at().alias("rec_start_date"), F.lit(None).cast("timestamp").alias("rec_end_date"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import values
-from kinweave.operators.evidence import self_pairs
+from kinweave.operators.entities import inside
 from kinweave.operators.standardized import party_attributes
 from kinweave.profiles import list_profiles
 
@@ -107,7 +107,7 @@ def entities(t: Tables) -> DataFrame:
     told = _evidence_inside(t, links, key)
     a, b = values.pair(F.col("party_id_1"), F.col("party_id_2"))
     blocks = t["match_blocking"].filter("is_active").select(a.alias("party_id_1"), b.alias("party_id_2")).distinct()
-    against = self_pairs(links, [key]).join(blocks, ["party_id_1", "party_id_2"]).groupBy(key).agg(F.count("*").alias("conflict_count"))
+    against = inside(blocks, links.select("party_id", key)).groupBy(key).agg(F.count("*").alias("conflict_count"))
     joined = t["master_entity"].join(size, key, "left").join(systems, key, "left").join(told, key, "left").join(against, key, "left").join(primary_names(t), key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     score = lambda c: F.when(zero("parties") != 1, F.coalesce(F.col(c), F.lit(0.0))).alias(c)
@@ -136,7 +136,7 @@ def entities(t: Tables) -> DataFrame:
 def peer_scores(t: Tables) -> DataFrame:
     """(party_id, peer_score): mean share of matches over peers with evidence."""
     ratio = F.when(F.col("m") + F.col("d") > 0, F.col("m") / (F.col("m") + F.col("d")))
-    pairs = self_pairs(_links(t).select("master_entity_id", "party_id"), ["master_entity_id"]).join(_pair_counts(t), ["party_id_1", "party_id_2"])
+    pairs = inside(_pair_counts(t), _links(t).select("master_entity_id", "party_id"))
     return pairs.select(F.explode(F.array("party_id_1", "party_id_2")).alias("party_id"), ratio.alias("r")).groupBy("party_id").agg(F.avg("r").alias("peer_score"))
 
 
