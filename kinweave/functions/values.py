@@ -58,6 +58,12 @@ def next_version(row_id: Column) -> Column:
     return F.when(n == "", F.concat(row_id, F.lit("_v2"))).otherwise(F.concat(F.regexp_replace(row_id, r"_v\d+$", "_v"), (F.when(n == "", F.lit("1")).otherwise(n).cast("int") + 1).cast("string")))
 
 
+def iso_timestamp(t: Column) -> Column:
+    """A timestamp as ``2026-01-31T08:05:00``, with microseconds only where there are some."""
+    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(t, "SSSSSS") == "000000", whole).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def numbered(prefix: str, n: Column, width: int = 4) -> Column:
     """``ENTITY_0001`` and so on."""
     return F.format_string(f"{prefix}%0{width}d", n)

@@ -50,6 +50,16 @@ def conditional_parties(rows: DataFrame, system: str, table: str, key: str, tabl
     return _party(rows, key, values.party_id(system, table, F.col(key)), table_id, chosen, at)
 
 
+def sound_rows(rows: DataFrame, key: str, rules: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Rows that can become parties of a conditional table, and the others with a ``reason``.
+
+    An ingest that should go on in spite of bad rows takes the first and
+    reports the second.
+    """
+    reason = F.when(F.col(key).isNull(), "no key").when(first_match(rules, rows.columns, F.lit(None).cast("string")).isNull(), "no party type condition matches")
+    return rows.filter(reason.isNull()), rows.withColumn("reason", reason).filter("reason is not null")
+
+
 def subset_parties(rows: DataFrame, system: str, table: str, key: str, table_id: str, groups: dict[str, list[str]], type_ids: dict[str, str], at: Column) -> DataFrame:
     """One party per row and type that has any attribute; the id ends with the role.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,21 @@ def duplicates(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
+def sample_rows(table: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in a stated order, for a reader to look at."""
+    return table.orderBy(*order).limit(n)
+
+
+def scenario_statistics(expected_clusters: DataFrame, expected_entities: DataFrame, expected_matches: DataFrame) -> DataFrame:
+    """One row of what a set of expected outputs holds."""
+    counts = [
+        expected_clusters.agg(F.count_distinct("scenario_id").alias("scenarios"), F.count("*").alias("parties"), F.count_distinct("expected_cluster_id").alias("clusters")),
+        expected_entities.agg(F.count_distinct("expected_master_entity_id").alias("entities")),
+        expected_matches.agg(F.count("*").alias("matches"), F.count_if(F.col("should_match")).alias("positive_matches")),
+    ]
+    return reduce(DataFrame.crossJoin, counts)
+
+
 def scenario_faults(expected_clusters: DataFrame, expected_entities: DataFrame, expected_matches: DataFrame, person_tables: list[str]) -> DataFrame:
     """Where expected outputs contradict each other: (scenario_id, fault, detail).
 

@@ -26,8 +26,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop)
 
 
+def _aside(folder: str, name: str, fmt: str) -> str:
+    """Where a table's last version stands while its successor takes its place."""
+    return f"{folder}/.{name}.{fmt}.last"
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    to, fs = _fs(spark, target)
+    if not fs.rename(_fs(spark, source)[0], to):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def _recover(spark: SparkSession, folder: str, name: str, fmt: str) -> None:
+    """Put a version back that a write moved aside and could not replace."""
+    target, last = f"{folder}/{name}.{fmt}", _aside(folder, name, fmt)
+    if not exists(spark, target) and exists(spark, last):
+        _move(spark, last, target)
+
+
 def find_table(spark: SparkSession, folder: str, name: str) -> str | None:
     """The path of a table in a folder, Parquet before CSV; None if missing."""
+    for fmt in ("parquet", "csv"):
+        _recover(spark, folder, name, fmt)
     return next((p for p in (f"{folder}/{name}.parquet", f"{folder}/{name}.csv") if exists(spark, p)), None)
 
 
@@ -110,16 +130,23 @@ class Sources:
 
 def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> None:
     """Replace a table.  The new one is written beside it and swapped in, so
-    ``df`` may read the table that it replaces."""
+    ``df`` may read the table that it replaces.
+
+    The old version is moved aside before the new one takes its place, and
+    deleted last; where a write dies between these steps, the next read or
+    write puts the old version back.
+    """
     spark = df.sparkSession
-    target, beside = f"{folder}/{name}.{fmt}", f"{folder}/.{name}-{uuid.uuid4().hex}"
+    target, last, beside = f"{folder}/{name}.{fmt}", _aside(folder, name, fmt), f"{folder}/.{name}-{uuid.uuid4().hex}"
+    _recover(spark, folder, name, fmt)
     writer = df.write.mode("errorifexists")
     (writer.option("header", True).csv(beside) if fmt == "csv" else writer.parquet(beside))
-    to, fs = _fs(spark, target)
-    if fs.exists(to):
-        fs.delete(to, True)
-    if not fs.rename(_fs(spark, beside)[0], to):
-        raise OSError(f"could not move {beside} to {target}")
+    old, fs = _fs(spark, last)
+    fs.delete(old, True)
+    if exists(spark, target):
+        _move(spark, target, last)
+    _move(spark, beside, target)
+    fs.delete(old, True)
 
 
 def write_profiled(df: DataFrame, folder: str, name: str, profile: Profile = DEFAULT, fmt: str = "parquet") -> None:

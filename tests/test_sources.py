@@ -88,3 +88,25 @@ def test_catalogue_switches_profiles(spark, tmp_path):
     with pytest.raises(ValueError):
         c.switch("nope")
     assert c.profile.name == "analytics"
+
+
+@pytest.mark.parametrize("dies_at", [1, 2])
+def test_a_write_that_dies_keeps_the_table(spark, tmp_path, monkeypatch, dies_at):
+    folder = str(tmp_path)
+    tables.write_table(spark.range(3), folder, "t")
+    moves, move = [], tables._move
+
+    def dying(*args):
+        moves.append(args)
+        if len(moves) == dies_at:
+            raise OSError("gone")
+        move(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_move", dying)
+        with pytest.raises(OSError):
+            tables.write_table(spark.range(9), folder, "t")
+    assert tables.read_optional(spark, folder, "t", "id long").count() == 3
+    tables.write_table(tables.read_table(spark, folder, "t").filter("id > 0"), folder, "t")
+    assert tables.read_table(spark, folder, "t").count() == 2
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".last")] == []
