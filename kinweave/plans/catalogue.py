@@ -76,9 +76,10 @@ def _(m: Model) -> DataFrame:
     return bronze.unpivot(m.table("customer"), "c_custkey", {"name": "c_name", "segment": "c_mktsegment", "nation": "c_nationkey"}).filter("raw_value is not null")
 
 
-@_register("raw_attribute_missing_party", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@_register("raw_attribute_missing_party", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def _(m: Model) -> DataFrame:
-    active = m.table("customer").join(m.table("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    """Only customers with an urgent order become parties."""
+    active = m.table("customer").join(m.table("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
     parties = bronze.simple_parties(active, "Sales", "customer", "c_custkey", "TBL_CUSTOMER", "PT_CUSTOMER", at())
     return bronze.rows_without_party(m.table("customer"), parties, "c_custkey", "TBL_CUSTOMER").select("c_custkey", "c_name")
 
