@@ -25,7 +25,7 @@ ORACLES: dict[str, str] = {}
 
 def _register(name: str, sql: str | None):
     def add(build: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
-        QUERIES[name] = lambda spark, folder: build(Model(spark, folder))
+        QUERIES[name] = lambda spark, folder: build(Model.shared(spark, folder))
         if sql is not None:
             ORACLES[name] = sql
         return build
@@ -145,12 +145,6 @@ def _(m: Model) -> DataFrame:
     return clusters.cluster_stats(m.order_clusters).withColumn("mean_size", F.round("mean_size", 6))
 
 
-@_register("clustering_faults", "SELECT CAST(NULL AS VARCHAR) AS party_id, CAST(NULL AS VARCHAR) AS fault WHERE false")
-def _(m: Model) -> DataFrame:
-    both = m.customers.unionByName(m.orders).select(F.col("source_party_id").alias("party_id"))
-    return clusters.clustering_faults(both, m.order_clusters)
-
-
 @_register(
     "clusters_incremental",
     f"""WITH o0 AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), o1 AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'),
@@ -324,7 +318,7 @@ def _score(profile: str) -> None:
 
     @_register(f"pair_score_{profile}", sql)
     def _(m: Model) -> DataFrame:
-        s = Model(m.spark, m.folder, profile).scored
+        s = Model.shared(m.spark, m.folder, profile).scored
         return s.select("party_id_1", "party_id_2", "decision", F.round("score", 6).alias("score"), "confidence_tier", F.round("match_ratio", 6).alias("match_ratio"), "num_matches", "num_differences")
 
 
@@ -353,7 +347,7 @@ def _(m: Model) -> DataFrame:
     O.with_(O.master(), "SELECT entity AS master_entity_id, n AS party_count, CAST(total_pairs AS BIGINT) AS total_pairs, u AS unique_attributes, CAST(i AS BIGINT) AS total_attribute_instances, f AS fully_matching_attributes, c AS contradicting_attributes, round(av, 3) AS avg_pair_score, round(mi, 3) AS min_pair_score, round(ma, 3) AS max_pair_score, CAST(m AS BIGINT) AS total_match_evidence, CAST(d AS BIGINT) AS total_difference_evidence, round(er, 3) AS evidence_match_ratio FROM mst", True),
 )
 def _(m: Model) -> DataFrame:
-    out = entities.master_entities(m.entities, m.attributes, m.standardized, m.matches, m.differences, at())
+    out = m.master
     r = lambda c: F.round(c, 3).alias(c)
     return out.select("master_entity_id", "party_count", "total_pairs", "unique_attributes", "total_attribute_instances", "fully_matching_attributes", "contradicting_attributes", r("avg_pair_score"), r("min_pair_score"), r("max_pair_score"), "total_match_evidence", "total_difference_evidence", r("evidence_match_ratio"))
 
@@ -433,12 +427,6 @@ def _(m: Model) -> DataFrame:
     return d.select("party_id", "cluster_id", "resolution_method", F.round("link_confidence", 4).alias("link_confidence"), F.size("attributes").cast("long").alias("n_attributes"))
 
 
-@_register("api_entity_evidence", O.with_(O.links(), "SELECT m.a AS party_id_1, m.b AS party_id_2, m.subtype AS match_key, nm AS num_matches, nd AS num_differences, round(nm / (nm + nd), 6) AS match_score FROM matches m JOIN scored2 s USING (a, b) WHERE s.entity = 'ENTITY_0001'", True))
-def _(m: Model) -> DataFrame:
-    d = reads.entity_detail(m.tables, "ENTITY_0001")["match_evidence"]
-    return d.select("party_id_1", "party_id_2", "match_key", "num_matches", "num_differences", F.round("match_score", 6).alias("match_score"))
-
-
 _NEAR = "near AS (SELECT party FROM core UNION SELECT p FROM rel WHERE p IN (SELECT party FROM core) OR q IN (SELECT party FROM core) UNION SELECT q FROM rel WHERE p IN (SELECT party FROM core) OR q IN (SELECT party FROM core))"
 
 
@@ -604,13 +592,3 @@ def _(m: Model) -> DataFrame:
 @_register("duplicate_keys", "SELECT l_orderkey, l_partkey, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(m: Model) -> DataFrame:
     return quality.duplicates(m.table("lineitem"), ["l_orderkey", "l_partkey"])
-
-
-@_register("scenario_coherence", None)
-def _(m: Model) -> DataFrame:
-    """Contradictions in expected outputs derived from the model: its own decisions as expectations."""
-    merged = m.scored.filter(F.col("decision").isin("MUST_MERGE", "MERGE", "MUST_NOT_MERGE"))
-    matches = merged.select(F.lit("S1").alias("scenario_id"), "party_id_1", "party_id_2", (F.col("decision") != "MUST_NOT_MERGE").alias("should_match"))
-    groups = m.entities.groupBy("master_entity_id").agg(F.to_json(F.array_sort(F.collect_list("party_id"))).alias("source_party_ids")).select(F.lit("S1").alias("scenario_id"), F.col("master_entity_id").alias("expected_master_entity_id"), "source_party_ids")
-    members = m.blocks.select(F.lit("S1").alias("scenario_id"), F.lit("sales_customer").alias("source_table"), F.col("party_id").alias("source_pk_value"))
-    return quality.scenario_faults(members, groups, matches, ["sales_customer"])

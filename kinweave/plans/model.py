@@ -19,7 +19,7 @@ from kinweave.operators.bronze import conditional_parties, simple_parties, subse
 from kinweave.operators.relationships import foreign_key, main_parties
 from kinweave.operators.standardized import party_attributes
 from kinweave.profiles import BUILT_IN, Profile
-from kinweave.storage import materialize
+from kinweave.storage import held, materialize
 
 #: The fixed times of the model's runs.
 T0, T1 = "2026-01-01 00:00:00", "2026-02-01 00:00:00"
@@ -64,6 +64,14 @@ class Model:
         self.spark, self.folder = spark, folder
         self.profile = BUILT_IN[profile] if isinstance(profile, str) else profile
 
+    @classmethod
+    def shared(cls, spark: SparkSession, folder: str, profile: str = "default") -> Model:
+        """The model that all queries of this application use: the first one builds a table, the others read it.
+
+        It stands for the folder's tables as they were then.
+        """
+        return held(spark).setdefault(("model", folder, profile), cls(spark, folder, profile))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -146,13 +154,13 @@ class Model:
     def compared(self) -> DataFrame:
         return materialize(evidence.compared(self.pairs, self.attributes, self.rules), "model-compared")
 
-    @property
+    @cached_property
     def matches(self) -> DataFrame:
-        return evidence.match_rows(self.compared, at())
+        return materialize(evidence.match_rows(self.compared, at()), "model-matches")
 
-    @property
+    @cached_property
     def differences(self) -> DataFrame:
-        return evidence.difference_rows(self.compared, at())
+        return materialize(evidence.difference_rows(self.compared, at()), "model-differences")
 
     @property
     def relationships(self) -> DataFrame:
@@ -187,10 +195,10 @@ class Model:
         none = self.spark.createDataFrame([], schemas.MATCH_BLOCKING)
         return materialize(conflicts.entity_conflicts(self.entities, self.attributes, self.blocking_rules, none), "model-conflicts")
 
-    @property
+    @cached_property
     def order_clusters(self) -> DataFrame:
         both = self.customers.unionByName(self.orders).select(F.col("source_party_id").alias("party_id"))
-        return clusters.full_clusters(both, self.order_edges(), at())
+        return materialize(clusters.full_clusters(both, self.order_edges(), at()), "model-clusters")
 
     # -- the tables that read queries see ---------------------------------
     @cached_property

@@ -324,7 +324,7 @@ def _(m: Model) -> DataFrame:
     return entities.link_count_faults(m.entities, m.links.filter("link_type = 'SINGLETON'"))
 
 
-@_register("clustering_faults_planted", f"SELECT {O.P} AS party_id, 'no cluster' AS fault FROM customer WHERE c_nationkey = 3 UNION ALL SELECT {O.P}, 'several clusters' FROM customer WHERE c_nationkey = 5")
+@_register("clustering_faults", f"SELECT {O.P} AS party_id, 'no cluster' AS fault FROM customer WHERE c_nationkey = 3 UNION ALL SELECT {O.P}, 'several clusters' FROM customer WHERE c_nationkey = 5")
 def _(m: Model) -> DataFrame:
     """One nation's customers lack a cluster, another's have two."""
     party = F.concat(F.lit("SP_Sales_customer_"), F.col("c_custkey").cast("string")).alias("party_id")
@@ -345,7 +345,7 @@ def _scenario(m: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 @_register(
-    "scenario_faults_planted",
+    "scenario_coherence",
     "SELECT * FROM (VALUES ('S1', 'match outside clusters', 'X'), ('S2', 'entity outside clusters', 'E3 Z'), ('S1', 'no entity for connected parties', 'A B C'), ('S1', 'person without entity', 'C'), ('S2', 'person without entity', 'G'), ('S2', 'negative match in one entity', 'E F')) t(scenario_id, fault, detail)",
 )
 def _(m: Model) -> DataFrame:
@@ -388,7 +388,7 @@ def _(m: Model) -> DataFrame:
 _BIG = "(SELECT entity FROM ent GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 1)"
 
 
-@_register("api_largest_entity_evidence", O.with_(O.links(), f"SELECT m.a AS party_id_1, m.b AS party_id_2, m.subtype AS match_key, nm AS num_matches, nd AS num_differences, round(nm / (nm + nd), 6) AS match_score FROM matches m JOIN scored2 s USING (a, b) WHERE s.entity = {_BIG}", True))
+@_register("api_entity_evidence", O.with_(O.links(), f"SELECT m.a AS party_id_1, m.b AS party_id_2, m.subtype AS match_key, nm AS num_matches, nd AS num_differences, round(nm / (nm + nd), 6) AS match_score FROM matches m JOIN scored2 s USING (a, b) WHERE s.entity = {_BIG}", True))
 def _(m: Model) -> DataFrame:
     big = m.master.orderBy(F.desc("party_count"), "master_entity_id").first()["master_entity_id"]
     d = reads.entity_detail(m.tables, big)["match_evidence"]

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOTS: dict[str, str] = {}
+_HELD: dict[str, dict] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,6 +29,11 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/kinweave-{app}"
 
 
+def held(spark: SparkSession) -> dict:
+    """What queries of this application may keep for each other; ``clear`` empties it."""
+    return _HELD.setdefault(spark.sparkContext.applicationId, {})
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
@@ -59,5 +65,6 @@ def discard(df: DataFrame) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; no plan may read them after."""
+    held(spark).clear()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
