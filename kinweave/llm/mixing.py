@@ -33,7 +33,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHT_CYCLE = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
-CELL_ROWS = 512
+#: Rows of a hash cell, about.
+CELL_ROWS = 64
 #: Equal rows that are told apart by one task at a time.
 CHUNK_ROWS = 4096
 #: Membership patterns that the driver's network takes.
@@ -148,16 +149,15 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def _ordered_starts(units: DataFrame, seed: int, n_rows: int) -> DataFrame:
+def _ordered_starts(units: DataFrame, seed: int) -> DataFrame:
     """Add ``before``: the tokens of a pattern that precede a unit.
 
     Units of a pattern are ordered by (cell, hash, doc_id, row key).  The
-    number of cells grows with the table, so a cell stays at some thousand
-    rows however large one pattern is.
+    number of ``cells`` grows with the pattern, so a cell stays small however
+    large the pattern is.
     """
-    cells = max(1, n_rows // CELL_ROWS)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row_key"))
-    units = units.withColumns({"weight": F.col("size") * F.col("rows"), "_order": order, "_cell": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("row_key")), F.lit(cells))})
+    units = units.withColumns({"weight": F.col("size") * F.col("rows"), "_order": order, "_cell": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("row_key")), F.col("cells"))})
     per_cell = units.groupBy("pattern", "_cell").agg(F.sum("weight").alias("_tokens"))
     group = (F.col("_cell") / 1024).cast("long")
     per_group = per_cell.groupBy("pattern", group.alias("_group")).agg(F.sum("_tokens").alias("_group_tokens"))
@@ -168,7 +168,7 @@ def _ordered_starts(units: DataFrame, seed: int, n_rows: int) -> DataFrame:
     per_cell = per_cell.select("pattern", "_cell", (F.col("_group_start") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0))).alias("_cell_start"))
     in_cell = Window.partitionBy("pattern", "_cell").orderBy("_order", "doc_id", "row_key", "size").rowsBetween(*up_to)
     placed = units.withColumn("_inside", F.coalesce(F.sum("weight").over(in_cell), F.lit(0)))
-    return placed.join(per_cell, ["pattern", "_cell"]).withColumn("before", F.col("_cell_start") + F.col("_inside")).drop("_cell", "_order", "_inside", "_cell_start", "weight")
+    return placed.join(per_cell, ["pattern", "_cell"]).withColumn("before", F.col("_cell_start") + F.col("_inside")).drop("_cell", "_order", "_inside", "_cell_start", "weight", "cells")
 
 
 def _one_by_one(counted: DataFrame, count: str) -> DataFrame:
@@ -217,9 +217,10 @@ def mix(
     quotas = share_targets([(s, size[s]) for s in names], [float(weights[i % len(weights)]) for i in range(len(names))], total_share * everything, max_repeats)
     at = {s: i for i, s in enumerate(names)}
     flow = min_cost_flow([r["size"] for r in found], [[at[s] for s in dict.fromkeys(r["sources"])] for r in found], [round(q.target) for q in quotas], max_repeats)
-    plan = [(r["pattern"], [sum(by_source[k] for by_source in flow[p]) for k in range(max_repeats)]) for p, r in enumerate(found)]
-    limits = members.sparkSession.createDataFrame(plan, "pattern string, limits array<long>")
-    placed = _ordered_starts(units, seed, sum(r["n"] for r in found)).join(_small(limits, len(found)), "pattern")
+    plan = [(r["pattern"], -(-r["n"] // CELL_ROWS), [sum(by_source[k] for by_source in flow[p]) for k in range(max_repeats)]) for p, r in enumerate(found)]
+    limits = members.sparkSession.createDataFrame(plan, "pattern string, cells long, limits array<long>")
+    sized = units.join(_small(limits.select("pattern", "cells"), len(found)), "pattern")
+    placed = _ordered_starts(sized, seed).join(_small(limits.select("pattern", "limits"), len(found)), "pattern")
     # of the equal rows at before, before + size, ... those with their middle inside the limit
     inside = lambda most: F.greatest(F.lit(0), F.least(F.col("rows"), F.ceil(F.try_divide(most - F.col("before") - F.col("size") / 2, F.col("size")))))
     taken = F.transform("limits", lambda most: F.when(F.col("size") > 0, inside(most)).otherwise(0).cast("long"))
