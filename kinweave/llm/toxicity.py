@@ -53,8 +53,9 @@ SAMPLE_ROWS = 6000
 HELD_COUNTS = 50_000
 #: Toxic sample texts that must hold an entry before it is weighed; copies of a text count once.
 LEAST_SUPPORT = 4
-#: Lower bound of the log odds that a learned entry needs, and how many standard deviations it lies below them.
-LEAST_ODDS, DEVIATIONS = 1.5, 1.65
+#: Lower bound of the log odds that a learned entry needs, and how many standard
+#: deviations it lies below them: many, as very many entries are looked at.
+LEAST_ODDS, DEVIATIONS = 1.5, 3.0
 #: Longest word beginning that is learned.
 STEM = (4, 7)
 PREDICT_FROM = 0.3
