@@ -36,6 +36,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -215,30 +216,36 @@ for _words, _class in ((TARGET, THIRD), (ADDRESSED, ADDRESS), (OBJECT, OBJ), (NE
     _CLASSES |= dict.fromkeys(_words, _class)
 
 
-class Grammar:
-    """The lexicon before the composed transducers, run over one text at a time."""
+class _Classes(dict):
+    """The class of each word, remembered."""
 
     def __init__(self, lexicon: Lexicon):
+        super().__init__()
         self._lexicon = lexicon
-        self._machine = compose(*cascade())
-        #: Threat verbs that the text read last holds as matches.
-        self.threats: set[str] = set()
-        grammar = self
 
-        class Classes(dict):
-            def __missing__(self, word: str) -> str:
-                found = grammar._class(word)
-                if len(self) < 200_000:
-                    self[word] = found
-                return found
+    def __missing__(self, word: str) -> str:
+        found = _CLASSES.get(word)
+        if found == VERB:
+            found = VERB if self._lexicon.threats.get(word, SEED_WEIGHT) > 0 else OTHER
+        found = found or (ABUSE if self._lexicon.weight(word) > 0 else OTHER)
+        if len(self) < 100_000:
+            self[word] = found
+        return found
+
+
+@cache
+def _machine() -> Transducer:
+    """The composed transducers of this process; they don't depend on a lexicon."""
+    return compose(*cascade())
 
-        self._classes = Classes()
 
-    def _class(self, word: str) -> str:
-        known = _CLASSES.get(word)
-        if known == VERB:
-            return VERB if self._lexicon.threats.get(word, SEED_WEIGHT) > 0 else OTHER
-        return known or (ABUSE if self._lexicon.weight(word) > 0 else OTHER)
+class Grammar:
+    """The lexicon before the composed transducers, run over one text at a time."""
+
+    def __init__(self, lexicon: Lexicon):
+        self._lexicon, self._classes = lexicon, _Classes(lexicon)
+        #: Threat verbs that the text read last holds as matches.
+        self.threats: set[str] = set()
 
     def readings(self, word: str, of: str) -> list[tuple[str, float]]:
         """What the lexicon makes of a word of a class."""
@@ -273,7 +280,7 @@ class Grammar:
                 quote, seen = _quotation(classes, seen, a, quote), a
             before = ([OTHER] if a > begin else []) + ([quote] if quote else [])
             places = [[(x, 0.0)] for x in before] + [self.readings(words[i], classes[i]) for i in range(a, b)]
-            for place, out, weight in best_path(self._machine, places)[1]:
+            for place, out, weight in best_path(_machine(), places)[1]:
                 i = a + place - len(before)
                 if out == MATCH:
                     matched += weight
