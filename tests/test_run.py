@@ -1,5 +1,9 @@
 """A whole run over a small hand-made source, in full and as a delta."""
 
+import json
+import threading
+import urllib.error
+import urllib.request
 from datetime import datetime
 
 import pytest
@@ -8,6 +12,7 @@ from kinweave import profiles
 from kinweave.operators.metadata import Metadata
 from kinweave.plans import reads, views
 from kinweave.plans.pipeline import Run, load_state
+from kinweave.plans.service import Service, serve
 from kinweave.schemas import METADATA
 from kinweave.sources.tables import Catalogue, Sources
 
@@ -169,3 +174,31 @@ def test_delta_run(spark, full, folders):
     before = {r.party_id[9:]: r.cluster_id for r in full.state["party_cluster"].collect()}
     assert now["quote_Q1"] == before["quote_Q1"] == now["lead_L4"] and now["lead_L1"] != before["lead_L1"]
     assert now["contact_person_C1"] == before["contact_person_C1"]
+
+
+def test_reads_over_http(spark, full, folders):
+    c = Catalogue(spark, str(folders / "metadata"), str(folders / "out/bronze"), str(folders / "out/silver"), str(folders / "out/gold"))
+    server = serve(Service(spark, c), 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(path, body=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", json.dumps(body).encode() if body else None)
+        with urllib.request.urlopen(request) as reply:
+            return json.load(reply)
+
+    try:
+        assert ask("/api/health") == [{"status": "healthy", "config": "default"}]
+        assert len(ask("/api/parties")) == 13
+        big = max(ask("/api/entities"), key=lambda e: e["party_count"])
+        detail = ask(f"/api/entities/{big['entity_id']}")
+        assert set(detail) == {"entity", "parties", "match_evidence", "blocking", "relationships"} and len(detail["parties"]) == big["party_count"]
+        assert ask("/api/parties/SP_Alpha_lead_L1")[0]["party_id"] == "SP_Alpha_lead_L1"
+        assert ask("/api/search?q=JOHN%40")[0]["entity_id"] == big["entity_id"]
+        assert ask("/api/dashboard/stats")["totals"][0]["total_parties"] == 13
+        assert [r["config"] for r in ask("/api/config", {"config": "analytics"}) if r["is_active"]] == ["analytics"]
+        for path, body, status in (("/api/entities/none", None, 404), ("/api/nothing", None, 404), ("/api/config", {"config": "none"}, 400)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                ask(path, body)
+            assert e.value.code == status
+    finally:
+        server.shutdown()
