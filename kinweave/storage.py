@@ -3,10 +3,13 @@
 The folder is ``spark.checkpoint.dir`` of the session.  Only a local session
 without that setting gets a folder of its own; on a cluster its absence is an
 error, because a machine-local folder would be invisible to other executors.
+The folder of an application is deleted when its driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOTS: dict[str, str] = {}
 _HELD: dict[str, dict] = {}
+_CLEARED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,7 +30,23 @@ def shared_root(spark: SparkSession) -> str:
         if app not in _OWN_ROOTS:
             _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         root = _OWN_ROOTS[app]
-    return f"{root.rstrip('/')}/kinweave-{app}"
+    own = f"{root.rstrip('/')}/kinweave-{app}"
+    if own not in _CLEARED:
+        _CLEARED.add(own)
+        _clear_at_exit(spark, own)
+    return own
+
+
+def _clear_at_exit(spark: SparkSession, own: str) -> None:
+    """Delete the folder when the driver's process ends, as no plan can read it after."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def delete() -> None:
+        with contextlib.suppress(Exception):  # the process ends in any case
+            path = jvm.org.apache.hadoop.fs.Path(own)
+            path.getFileSystem(conf).delete(path, True)
+
+    atexit.register(delete)
 
 
 def held(spark: SparkSession) -> dict:
