@@ -27,7 +27,7 @@ def _register(name: str, sql: str | None):
     def add(build: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
         QUERIES[name] = lambda spark, folder: build(Model.shared(spark, folder))
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = O.stepwise(sql)
         return build
 
     return add

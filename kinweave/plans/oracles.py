@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from kinweave.plans.model import ATTRIBUTE_SQL, BLOCKING_RULES, EVIDENCE_RULES, T0, T1
 from kinweave.profiles import BUILT_IN
 
@@ -111,13 +113,21 @@ NAMES = """nm2 AS (SELECT entity, arg_min(concat(f.value, ' ', l.value), ent.par
 
 #: Pairs inside entities that a rule of the conflict stage blocks.
 CONFLICTS = f"""brules(rid, rname, subtype, prio) AS (VALUES {_BLOCKING}),
+full_names AS MATERIALIZED (SELECT party, max(value) FILTER (WHERE subtype = 'ATTR_FIRST_NAME') AS f, max(value) FILTER (WHERE subtype = 'ATTR_LAST_NAME') AS l FROM attrs GROUP BY party),
 bcand AS (SELECT p.entity, p.a, p.b, r.rid, r.rname, r.subtype, x.value AS va, y.value AS vb, row_number() OVER (PARTITION BY p.a, p.b ORDER BY r.prio DESC, r.rid) AS rn
-  FROM epairs p JOIN brules r ON true JOIN attrs x ON x.party = p.a AND x.subtype = replace(r.subtype, 'SUB_GENDER', 'ATTR_GENDER') JOIN attrs y ON y.party = p.b AND y.subtype = x.subtype
-  WHERE x.value <> y.value AND (r.subtype <> 'SUB_GENDER' OR (
-    EXISTS (SELECT 1 FROM attrs f JOIN attrs g ON f.subtype = g.subtype AND f.value = g.value WHERE f.party = p.a AND g.party = p.b AND f.subtype = 'ATTR_FIRST_NAME')
-    AND EXISTS (SELECT 1 FROM attrs f JOIN attrs g ON f.subtype = g.subtype AND f.value = g.value WHERE f.party = p.a AND g.party = p.b AND f.subtype = 'ATTR_LAST_NAME')))),
+  FROM epairs p JOIN attrs x ON x.party = p.a JOIN attrs y ON y.party = p.b AND y.subtype = x.subtype JOIN brules r ON x.subtype = replace(r.subtype, 'SUB_GENDER', 'ATTR_GENDER')
+  JOIN full_names na ON na.party = p.a JOIN full_names nb ON nb.party = p.b
+  WHERE x.value <> y.value AND (r.subtype <> 'SUB_GENDER' OR (na.f = nb.f AND na.l = nb.l))),
 conf AS (SELECT * FROM bcand WHERE rn = 1)"""
 
 
 def with_(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes} {select}"
+
+
+_STEPS = re.compile(r"\b(attrs|pairs|cmp|matches|diffs|rel|relp|ms|dsum|scored|e|comp|ent|epairs|scored2|lnk|pss|conf) AS \(")
+
+
+def stepwise(sql: str) -> str:
+    """The SQL with its large steps computed once each, so that no plan multiplies them."""
+    return _STEPS.sub(r"\1 AS MATERIALIZED (", sql)
