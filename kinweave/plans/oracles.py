@@ -102,7 +102,8 @@ def master(profile: str = "default") -> str:
     return f"""{links(profile)},
 sz AS (SELECT entity, count(*) AS n FROM ent GROUP BY entity),
 agree AS (SELECT entity, count(*) FILTER (WHERE v = 1) AS f, count(*) FILTER (WHERE v > 1) AS c, count(*) AS u, sum(i) AS i FROM (SELECT entity, subtype, count(DISTINCT value) AS v, count(*) AS i FROM attrs JOIN ent USING (party) GROUP BY 1, 2) GROUP BY entity),
-ps AS (SELECT p.entity, p.a, p.b, avg(CASE WHEN x.value = y.value THEN 1.0 ELSE 0.0 END) AS s FROM epairs p JOIN attrs x ON x.party = p.a JOIN attrs y ON y.party = p.b AND x.subtype = y.subtype GROUP BY 1, 2, 3),
+px AS MATERIALIZED (SELECT p.entity, p.a, p.b, x.subtype, x.value FROM epairs p JOIN attrs x ON x.party = p.a),
+ps AS (SELECT p.entity, p.a, p.b, avg(CASE WHEN p.value = y.value THEN 1.0 ELSE 0.0 END) AS s FROM px p JOIN attrs y ON y.party = p.b AND p.subtype = y.subtype GROUP BY 1, 2, 3),
 pss AS (SELECT entity, avg(s) AS av, min(s) AS mi, max(s) AS ma FROM ps GROUP BY entity),
 ev AS (SELECT entity, sum(nm) AS m, sum(nd) AS d, avg(CASE WHEN nm + nd > 0 THEN nm / (nm + nd) END) AS r FROM scored2 GROUP BY entity),
 mst AS (SELECT sz.entity, n, n * (n - 1) // 2 AS total_pairs, u, i, CASE WHEN n > 1 THEN f ELSE 0 END AS f, CASE WHEN n > 1 THEN c ELSE 0 END AS c, coalesce(pss.av, 0.0) AS av, coalesce(mi, 1.0) AS mi, coalesce(ma, 0.0) AS ma, coalesce(ev.m, 0) AS m, coalesce(ev.d, 0) AS d, CASE WHEN coalesce(ev.m + ev.d, 0) > 0 THEN ev.m / (ev.m + ev.d) ELSE 0.0 END AS er, coalesce(ev.r, 0.0) AS ar
@@ -114,8 +115,9 @@ NAMES = """nm2 AS (SELECT entity, arg_min(concat(f.value, ' ', l.value), ent.par
 #: Pairs inside entities that a rule of the conflict stage blocks.
 CONFLICTS = f"""brules(rid, rname, subtype, prio) AS (VALUES {_BLOCKING}),
 full_names AS MATERIALIZED (SELECT party, max(value) FILTER (WHERE subtype = 'ATTR_FIRST_NAME') AS f, max(value) FILTER (WHERE subtype = 'ATTR_LAST_NAME') AS l FROM attrs GROUP BY party),
+cx AS MATERIALIZED (SELECT q.a, q.b, c.subtype, c.value FROM epairs q JOIN attrs c ON c.party = q.a),
 bcand AS (SELECT p.entity, p.a, p.b, r.rid, r.rname, r.subtype, x.value AS va, y.value AS vb, row_number() OVER (PARTITION BY p.a, p.b ORDER BY r.prio DESC, r.rid) AS rn
-  FROM epairs p JOIN attrs x ON x.party = p.a JOIN attrs y ON y.party = p.b AND y.subtype = x.subtype JOIN brules r ON x.subtype = replace(r.subtype, 'SUB_GENDER', 'ATTR_GENDER')
+  FROM cx x JOIN attrs y ON y.party = x.b AND y.subtype = x.subtype JOIN epairs p ON p.a = x.a AND p.b = x.b JOIN brules r ON x.subtype = replace(r.subtype, 'SUB_GENDER', 'ATTR_GENDER')
   JOIN full_names na ON na.party = p.a JOIN full_names nb ON nb.party = p.b
   WHERE x.value <> y.value AND (r.subtype <> 'SUB_GENDER' OR (na.f = nb.f AND na.l = nb.l))),
 conf AS (SELECT * FROM bcand WHERE rn = 1)"""
