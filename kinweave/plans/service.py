@@ -7,7 +7,7 @@ one; details are bounded by what one id has.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -18,7 +18,7 @@ from kinweave.sources.tables import Catalogue
 
 #: Fixed value: the port that clients of the read queries know.
 PORT = 5001
-Answer = DataFrame | dict[str, DataFrame]
+Answer = DataFrame | Mapping[str, DataFrame]
 
 
 class Service:
