@@ -11,6 +11,7 @@ from .conftest import SF
 #: Queries that read no pair of parties.
 WITHOUT_PAIRS = [
     "api_cluster_relationships",
+    "api_party",
 ]
 
 
