@@ -12,6 +12,7 @@ from .conftest import SF
 WITHOUT_PAIRS = [
     "api_cluster_relationships",
     "api_party",
+    "api_party_attributes",
 ]
 
 
