@@ -13,6 +13,7 @@ WITHOUT_PAIRS = [
     "api_cluster_relationships",
     "api_party",
     "api_party_attributes",
+    "api_source_systems",
 ]
 
 
