@@ -14,6 +14,7 @@ WITHOUT_PAIRS = [
     "api_party",
     "api_party_attributes",
     "api_source_systems",
+    "attributes_by_table",
 ]
 
 
