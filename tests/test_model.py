@@ -15,6 +15,7 @@ WITHOUT_PAIRS = [
     "api_party_attributes",
     "api_source_systems",
     "attributes_by_table",
+    "parties_by_system",
 ]
 
 
