@@ -32,6 +32,7 @@ def test_a_query_builds_only_what_it_reads(spark, name):
 
 #: Queries that read pairs of parties.
 WITH_PAIRS = [
+    "pair_score_operational",
     "pair_score_default",
     "evidence_match",
     "evidence_difference",
