@@ -100,6 +100,7 @@ def _copies(spark, folder, times):
 
 #: Queries that judge kinds of parties, or bundles.
 BY_KINDS = [
+    "api_parties",
     "api_entities",
     "api_clusters",
     "pair_score_operational",
