@@ -160,7 +160,7 @@ def _across(members: DataFrame, parts: DataFrame, small: int) -> tuple[DataFrame
     """Buckets with several components: (open members, pairs of small ones, classes of large ones)."""
     placed = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     state = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("n > 2 and p0 <> p1").select("key", "n")
-    open_ = dealt_join(placed, state, ["key"], state)
+    open_ = materialize(dealt_join(placed, state, ["key"], state), "open")
     few = open_.filter(F.col("n") <= small)
     x, y = few.select("key", F.col("rep").alias("a"), F.col("part").alias("pa")), few.select("key", F.col("rep").alias("b"), F.col("part").alias("pb"))
     pairs = x.join(y, "key").filter("a > b and pa <> pb").select("a", "b").distinct()
@@ -219,7 +219,7 @@ def near_duplicates(documents: DataFrame, limit: tuple[int, int] = LIMIT, small_
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = materialize(dealt_join(keyed, hubs.select("key", "hub"), ["key"], hubs.select("key", "n")).select("key", "rep", "hub"), "buckets")
-    stars = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = materialize(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     first = materialize(_likely(stars, classes, ESTIMATE_FLOOR), "pairs")
     sets = materialize(_full_sets(documents, first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).unionByName(_inner_members(members)), classes), "sets")
     links = materialize(_confirm(first, sets, limit), "links")
@@ -228,10 +228,11 @@ def near_duplicates(documents: DataFrame, limit: tuple[int, int] = LIMIT, small_
     more = few
     if not many.isEmpty():
         more = few.unionByName(_prefix_pairs(materialize(many, "many"), sets, limit)).distinct()
-    tested = materialize(_likely(more.join(first, ["a", "b"], "left_anti"), classes, ESTIMATE_FLOOR), "pairs")
+    more = materialize(more.join(first, ["a", "b"], "left_anti"), "more")  # read five times below: a driver holds each copy of its plan
+    tested = materialize(_likely(more, classes, ESTIMATE_FLOOR), "pairs")
     if not tested.isEmpty():
         parts = materialize(connected_components(links.unionByName(_confirm(tested, sets, limit))), "parts")
-    for table in (members, first, tested, sets, links):  # what follows reads none of them
+    for table in (members, stars, first, open_, more, tested, sets, links):  # what follows reads none of them
         discard(table)
     own = classes.select("rep", "set_lo", "set_hi", "first_id", F.col("row_key").alias("kept_key"))
     label = own.join(parts, own["rep"] == parts["node"], "left").withColumn("component", F.coalesce("component", "rep"))

@@ -6,6 +6,8 @@ import pytest
 
 from kinweave.llm import neardup
 from kinweave.llm.shingles import common, shingle_sets
+from kinweave.operators import graph
+from kinweave.storage import materialize
 
 from .helpers import documents, prose
 
@@ -101,3 +103,19 @@ def test_rows_of_one_id_are_kept_by_their_own_texts(spark):
     kept = [(r.doc_id, r.text) for r in neardup.kept_documents(documents(spark, rows)).collect()]
     assert (5, prose(2, 80)) in kept and (5, prose(1, 80)) not in kept
     assert sorted(i for i, _ in kept) == [1, 5, 7, 9, 9]
+
+
+def test_no_plan_holds_many_copies_of_another(spark, monkeypatch):
+    joins = {}
+
+    def noted(df, label):
+        joins[label] = max(joins.get(label, 0), df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return materialize(df, label)
+
+    monkeypatch.setattr(neardup, "materialize", noted)
+    monkeypatch.setattr(graph, "materialize", noted)
+    monkeypatch.setattr(graph.joins, "HOT_ROWS", 4)
+    rows = family(70)
+    assert got(neardup.near_duplicates(documents(spark, rows), small_bucket=2)) == brute(rows)
+    assert {"open", "more", "stars"} <= joins.keys()
+    assert max(joins.values()) <= 12, joins
