@@ -185,7 +185,7 @@ for name in sys.argv[3:]:
 """
 
 #: Queries that write tables on their way.
-WITH_TABLES = ["api_clusters"]
+WITH_TABLES = ["api_clusters", "dashboard_quality", "dashboard_totals"]
 
 
 def test_queries_leave_no_shuffle_files(tmp_path):
